@@ -9,7 +9,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,9 +63,9 @@ def expected(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, np.sqrt(low * np.maximum(low, high)), 0.0)
 
 
-def _places(hashes: np.ndarray, level: np.ndarray | int, sizes: np.ndarray) -> Iterator[np.ndarray]:
+def _places(hashes: np.ndarray, level: int, sizes: np.ndarray) -> Iterator[np.ndarray]:
     """Bit positions of (hash, level) in a segment of the given size, one array a probe."""
-    g = (hashes + np.uint64(1) * np.asarray(level, np.uint64) * _STEP) * _MIX
+    g = (hashes + np.uint64(level * int(_STEP) % (1 << 64))) * _MIX
     g ^= g >> np.uint64(32)
     one, two = g & np.uint64(0xFFFFFFFF), (g >> np.uint64(32)) | np.uint64(1)
     for i in range(PROBES):
@@ -111,22 +110,14 @@ class Filter:
         live = np.flatnonzero(self.sizes[r] > 0)
         q = 1
         while len(live):
-            for_all = hashes[live]
             size, start = self.sizes[r[live]], self.offsets[r[live]]
-            for place in _places(for_all, q, size):
-                at = start + place
-                hit = (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
-                live = live[hit]
-                break
-            if not len(live):
-                break
-            for_all, size, start = hashes[live], self.sizes[r[live]], self.offsets[r[live]]
-            found = np.ones(len(live), bool)
-            for k, place in enumerate(_places(for_all, q, size)):
-                if k:
-                    at = start + place
-                    found &= (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
-            live = live[found]
+            keep = np.arange(len(live))
+            for place in _places(hashes[live], q, size):
+                at = (start + place)[keep]
+                keep = keep[(self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0]
+                if not len(keep):
+                    break
+            live = live[keep]
             out[live] = q
             q += 1
         return out
@@ -257,7 +248,7 @@ def _partial(docs: DataFrame, scorer, first: bool) -> DataFrame:
     names = [f.split()[0] for f in schema.split(", ")]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, row = scorer(), TaskContext.get().partitionId() << 33
+        own = scorer()
         for b in batches:
             docs, at = [tokens_of(t) for t in b.column("text").to_pylist()], 0
             while at < len(docs):
@@ -265,18 +256,17 @@ def _partial(docs: DataFrame, scorer, first: bool) -> DataFrame:
                 while to < len(docs) and (to == at or n + len(docs[to]) <= _TOKENS):
                     n += len(docs[to])
                     to += 1
-                yield block(own, docs[at:to], b.slice(at, to - at), row)
-                row += to - at
+                yield block(own, docs[at:to], b.slice(at, to - at))
                 at = to
 
-    def block(own: Scorer, docs: list[list[bytes]], b: pa.RecordBatch, row: int) -> pa.RecordBatch:
+    def block(own: Scorer, docs: list[list[bytes]], b: pa.RecordBatch) -> pa.RecordBatch:
         per = own.ids(docs)
         ids, before = np.concatenate(per), np.concatenate([np.roll(x, 1) for x in per])
         lengths = np.array([len(x) for x in per])
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         logs, mine = own.log_probs(ids, before)
         lm = np.add.reduceat(np.where(mine, logs, 0.0), starts)
-        rids = row + np.arange(len(docs))
+        rids = b.column("rid").to_numpy()
         exact = own.exact[ids]
         known = np.add.reduceat((exact > 0).astype(np.int64), starts)
         base = np.add.reduceat(np.log10(exact + 1.0), starts)
@@ -287,7 +277,7 @@ def _partial(docs: DataFrame, scorer, first: bool) -> DataFrame:
         own_words = pa.array([f"\n{r}" for r in rids.tolist()], pa.string())  # white space: no word, and no two alike
         pad = lambda a, t: pa.concat_arrays([pa.array(a, t), pa.nulls(more, t)])
         cols = [
-            pa.array(np.concatenate([rids, row + (pairs >> 32)])),
+            pa.array(np.concatenate([rids, rids[pairs >> 32]])),
             pa.concat_arrays([own_words, pa.array(words, pa.binary()).cast(pa.string())]),
             pa.array(np.concatenate([np.zeros(len(docs), np.int64), tf])),
             pa.concat_arrays([b.column("doc_id"), pa.nulls(more, b.column("doc_id").type)]),
@@ -330,10 +320,10 @@ def score(docs: DataFrame, segments: int | None = None, filter_bytes: int = FILT
     """
     spark = docs.sparkSession
     segments = segments or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = fields(docs, "doc_id", "text").withColumn("held_out", in_split(F.col("doc_id"), FOLDS, HELD_OUT))
+    base = fields(docs, "doc_id", "text").withColumn("held_out", in_split(F.col("doc_id"), FOLDS, HELD_OUT)).withColumn("rid", F.monotonically_increasing_id())
     train = base.where(~F.col("held_out"))
     counts = cut(word_counts(train))
-    total, distinct, entered = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n"), F.coalesce(F.sum(F.floor(F.log(F.lit(BASE), F.col("n"))) + 1), F.lit(0))).first()
+    total, distinct, entered = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n"), F.coalesce(F.sum(F.floor(F.log(BASE, F.col("n"))) + 1), F.lit(0))).first()
     known = {r.word.encode("utf-8", "surrogatepass"): r.n for r in counts.orderBy(F.desc("n"), "word").limit(frequent).collect()}
     word_bits = min(BITS, 8 * filter_bytes / max(entered, 1))
     words = Filter.of({r.r: bytes(r.bits) for r in segments_of(word_blobs(counts, segments), word_bits).select("r", "bits").collect()}, segments)
