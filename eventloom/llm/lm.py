@@ -18,10 +18,10 @@ FOLDS, HELD_OUT = 7, 2
 #: The token after a text's last word; no word is empty.
 END = ""
 #: Base of the quantisation: level q stands for counts from BASE**(q-1) to below BASE**q.
-BASE = 1.5
-BITS, PROBES = 10, 5
+BASE = 2.0
+BITS, PROBES = 8, 4
 #: The largest filter that is broadcast; more n-grams are scored in blocks of such filters, one pass over the texts for each.
-FILTER_BYTES = 512 << 20
+FILTER_BYTES = 64 << 20
 #: So many of the most frequent words have their exact counts broadcast; the rest are joined.
 FREQUENT = 1 << 18
 #: Share of the bigram estimate in the interpolated probability.
@@ -91,17 +91,18 @@ def segment(hashes: np.ndarray, counts: np.ndarray, bits: float = BITS) -> np.nd
 
 @dataclass
 class Filter:
-    """Segments of a log-frequency Bloom filter; a segment that is not in this block has size 0."""
+    """Segments of a log-frequency Bloom filter. own: whether this block answers for a range; elsewhere, and where no n-gram is, size is 0."""
 
     bits: np.ndarray
     offsets: np.ndarray
     sizes: np.ndarray
+    own: np.ndarray
 
     @staticmethod
     def of(parts: dict[int, bytes], segments: int) -> Filter:
         sizes = np.array([8 * len(parts.get(r, b"")) for r in range(segments)], np.int64)
         offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if segments else sizes
-        return Filter(np.frombuffer(b"".join(parts.get(r, b"") for r in range(segments)), np.uint8), offsets.astype(np.uint64), sizes.astype(np.uint64))
+        return Filter(np.frombuffer(b"".join(parts.get(r, b"") for r in range(segments)), np.uint8), offsets.astype(np.uint64), sizes.astype(np.uint64), np.array([r in parts for r in range(segments)], bool))
 
     def level(self, hashes: np.ndarray) -> np.ndarray:
         """The highest level that repeated probes find, 0 for none; n-grams of absent segments too."""
@@ -234,8 +235,8 @@ class Scorer:
     def log_probs(self, ids: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 of the smoothed probability of each token after the one before it, and whether this block of the filter has its range."""
         h = pair_hashes(self.hashes[before], self.hashes[ids])
-        mine = self.pairs.sizes[ranges(h, len(self.pairs.sizes))] > 0 if len(self.pairs.sizes) else np.ones(len(ids), bool)
-        seen, context = (expected(self.pairs.level(h)) if len(self.pairs.sizes) else np.zeros(len(ids))), self.estimate[before]
+        mine = self.pairs.own[ranges(h, len(self.pairs.own))]
+        seen, context = expected(self.pairs.level(h)), self.estimate[before]
         bigram = np.where(context > 0, np.minimum(seen / np.maximum(context, 1), 1), 0)
         alone = (self.estimate[ids] + 1) / self.least
         return np.log10(np.where(context > 0, BIGRAM_SHARE * bigram + (1 - BIGRAM_SHARE) * alone, alone)), mine
@@ -292,17 +293,19 @@ def _partial(docs: DataFrame, scorer, first: bool) -> DataFrame:
     return map_arrow(docs, score, schema)
 
 
-def blocks_of(sizes: list[tuple[int, int]], most: int) -> list[list[int]]:
-    """Consecutive ranges whose bytes stay within `most` together; a larger range is a block of its own."""
-    out: list[list[int]] = []
-    room = 0
-    for r, n in sorted(sizes):
-        if not out or n > room:
-            out.append([])
-            room = most
-        out[-1].append(r)
-        room -= n
-    return out or [[]]
+def blocks_of(segments: DataFrame, count: int, most: int) -> Iterator[Filter]:
+    """Filters of at most `most` bytes each (a larger segment is one of its own), fetched one partition of segments at a time.
+
+    Every range is in one block: the first also has those without any n-gram."""
+    present = {r.r for r in segments.select("r").collect()}
+    absent, held, room = {r: b"" for r in range(count) if r not in present}, {}, most
+    for row in segments.select("r", "bits").toLocalIterator():
+        if held and len(row.bits) > room:
+            yield Filter.of(absent | held, count)
+            absent, held, room = {}, {}, most
+        held[row.r] = bytes(row.bits)
+        room -= len(row.bits)
+    yield Filter.of(absent | held, count)
 
 
 def score(docs: DataFrame, segments: int | None = None, filter_bytes: int = FILTER_BYTES, frequent: int = FREQUENT) -> DataFrame:
@@ -311,11 +314,11 @@ def score(docs: DataFrame, segments: int | None = None, filter_bytes: int = FILT
     base_score is exact: the `frequent` most frequent training words are broadcast with their counts, each text's other words
     are joined with the count table. score is the model's: p(w | v) mixes c(v w) / c(v) with the add-one unigram estimate, all
     counts from the filter, where level q of an n-gram is found by probing for levels 1, 2, ... until one is missing. The
-    filter has no false negatives; a level is overstated with a chance of about 1 % (10 bits, 5 probes an entry).
+    filter has no false negatives; a level is overstated with a chance of 2 to 3 % (8 bits, 4 probes an entry).
 
     Bigram counts meet range by range of their hashes, a finished segment for each; a filter of more than `filter_bytes` is
     broadcast in blocks of segments, with a pass over the texts for each block, whose partial sums add up. The word filter is
-    held to `filter_bytes` by fewer bits an entry beyond 400 million words. Null texts are empty (the end alone); a null id
+    held to `filter_bytes` by fewer bits an entry beyond as many words. Null texts are empty (the end alone); a null id
     counts as empty text for the fold; repeated rows are rows like others; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -324,15 +327,16 @@ def score(docs: DataFrame, segments: int | None = None, filter_bytes: int = FILT
     train = base.where(~F.col("held_out"))
     counts = cut(word_counts(train))
     total, distinct, entered = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n"), F.coalesce(F.sum(F.floor(F.log(BASE, F.col("n"))) + 1), F.lit(0))).first()
-    known = {r.word.encode("utf-8", "surrogatepass"): r.n for r in counts.orderBy(F.desc("n"), "word").limit(frequent).collect()}
+    most = counts.orderBy(F.desc("n"), "word").limit(frequent).toArrow()
+    known = dict(zip(most["word"].cast(pa.binary()).to_pylist(), most["n"].to_pylist(), strict=True))
     word_bits = min(BITS, 8 * filter_bytes / max(entered, 1))
-    words = Filter.of({r.r: bytes(r.bits) for r in segments_of(word_blobs(counts, segments), word_bits).select("r", "bits").collect()}, segments)
+    words = next(blocks_of(segments_of(word_blobs(counts, segments), word_bits), segments, 2 * filter_bytes))
     pairs = segments_of(bigram_blobs(train, segments))
     tables = spark.sparkContext.broadcast((words, known, total, distinct))
+    del most, known, words
     parts = None
-    for k, block in enumerate(blocks_of([tuple(r) for r in pairs.select("r", F.octet_length("bits")).collect()], filter_bytes)):
-        held = {r.r: bytes(r.bits) for r in pairs.where(F.col("r").isin(block)).select("r", "bits").collect()}
-        own = spark.sparkContext.broadcast(Filter.of(held, segments))
+    for k, block in enumerate(blocks_of(pairs, segments, filter_bytes)):
+        own = spark.sparkContext.broadcast(block)
 
         def scorer(own=own, tables=tables) -> Scorer:
             words, known, total, distinct = tables.value
