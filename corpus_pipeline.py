@@ -2,30 +2,66 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from eventloom.llm import simhash
-from eventloom.llm.common import table
+from eventloom.llm import decontam, langid, lines, pieces, simhash
+from eventloom.llm.common import ensure_checkpoint_dir, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language stay; those without a letter, or without text, go."""
+    return langid.recognised(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that occur before go from the texts (n_chars follows); a document that loses every line goes as well."""
+    out = lines.dedup(docs).where("removed_lines = 0 or removed_lines < text_lines")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id."""
     return simhash.one_of_each(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("simhash_near_dedup", near_copies)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a copy of a benchmark item go."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The kept texts as piece ids, with the proof of the round trip."""
+    return pieces.encode(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("sentencepiece", encoding),
+]
 
-#: SQL can't sum over segmentations, align text or search pieces: the stages are tested against brute force instead.
+#: SQL can't sum over segmentations, align texts or search pieces: the stages are tested against brute force instead.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, one after another."""
+    """The stages applied to documents; each result but the last is written to the shared checkpoint folder and read again."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/corpus-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
     return docs
