@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +35,36 @@ def fields(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(df[n] for n in names))
 
 
+#: Bytes of text that a worker splits into words at a time.
+SLICE_BYTES = 2 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in batches of at most `most` bytes of text; a longer text is alone in one."""
+    for b in batches:
+        if b.num_rows < 2 or "text" not in b.schema.names:
+            yield b
+            continue
+        sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        start = 0
+        while start < b.num_rows:
+            within = int(np.searchsorted(np.cumsum(sizes[start:]), most, side="right"))
+            yield b.slice(start, max(1, within))
+            start += max(1, within)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow; Spark cuts its input batches by bytes too, so long texts don't add up in a worker."""
-    return df.mapInArrow(fn, schema)
+    """mapInArrow over slices: Spark cuts its input batches by bytes, and the slices bound what a worker has split into words.
+
+    Workers outlive their tasks, so what a task has freed goes back to the system at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(slices(batches))
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return df.mapInArrow(run, schema)
 
 
 def sql_type(df: DataFrame, name: str) -> str:

@@ -191,14 +191,11 @@ def encode(docs: DataFrame, path: str = MODEL, merges: bool = True) -> DataFrame
         codec = Codec(held.value)
         for b in batches:
             texts = b.column("text").to_pylist()
-            for at in range(0, len(texts), 1000):
-                part = texts[at : at + 1000]
-                ids = codec.encode(part)
-                exact = [codec.decode(x) == normalised(t) for x, t in zip(ids, part, strict=True)]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)), mask=pa.array([t is None for t in part]))
-                cols = [b.column("doc_id").slice(at, len(part)), lists, pa.array(np.diff(offsets).astype(np.int64)), pa.array(exact, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "n_ids", "exact"])
+            ids = codec.encode(texts)
+            exact = [codec.decode(x) == normalised(t) for x, t in zip(ids, texts, strict=True)]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])), mask=pa.array([t is None for t in texts], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists, pa.array(np.diff(offsets).astype(np.int64)), pa.array(exact, pa.bool_())], ["doc_id", "ids", "n_ids", "exact"])
 
     return map_arrow(fields(docs, "doc_id", "text"), code, f"doc_id {sql_type(docs, 'doc_id')}, ids array<int>, n_ids bigint, exact boolean")
 
