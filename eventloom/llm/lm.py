@@ -8,9 +8,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest as hashed
 
 from eventloom.llm.common import cut, fields, in_split, map_arrow, sql_type
 
@@ -23,10 +23,11 @@ BITS, PROBES = 8, 4
 #: The largest filter that is broadcast; more n-grams are scored in blocks of such filters, one pass over the texts for each.
 FILTER_BYTES = 64 << 20
 #: So many of the most frequent words have their exact counts broadcast; the rest are joined.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 17
 #: Share of the bigram estimate in the interpolated probability.
 BIGRAM_SHARE = 0.4
-_TOKENS, _CACHED = 1 << 19, 400_000
+_CACHED, _SEED = 250_000, 7
+_LOW = np.uint64(0xFFFFFFFF)
 _MIX, _STEP, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -37,16 +38,24 @@ def tokens_of(text: str | None) -> list[bytes]:
     return words
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, 7)
-
-
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        h = self[word] = word_hash(word)
+        h = self[word] = hashed(word, _SEED)
         return h
 
 
+class _Numbers(dict):
+    """Words in the order of their first look-up."""
+
+    def __init__(self) -> None:
+        self.names: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self.names)
+        self.names.append(word)
+        return n
+
+
 def pair_hashes(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     x = (before ^ (before >> np.uint64(31))) * _PAIR + after
     x = (x ^ (x >> np.uint64(29))) * _MIX
@@ -67,9 +76,9 @@ def _places(hashes: np.ndarray, level: int, sizes: np.ndarray) -> Iterator[np.nd
     """Bit positions of (hash, level) in a segment of the given size, one array a probe."""
     g = (hashes + np.uint64(level * int(_STEP) % (1 << 64))) * _MIX
     g ^= g >> np.uint64(32)
-    one, two = g & np.uint64(0xFFFFFFFF), (g >> np.uint64(32)) | np.uint64(1)
+    one, two = g & _LOW, (g >> np.uint64(32)) | np.uint64(1)
     for i in range(PROBES):
-        yield (one + np.uint64(i) * two) % sizes
+        yield ((one + np.uint64(i) * two) & _LOW) * sizes >> np.uint64(32)  # sizes are below 2**32
 
 
 def ranges(hashes: np.ndarray, segments: int) -> np.ndarray:
@@ -162,7 +171,7 @@ def bigram_blobs(train: DataFrame, segments: int) -> DataFrame:
 def word_blobs(counts: DataFrame, segments: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = np.array([word_hash(w.encode("utf-8", "surrogatepass")) for w in b.column("word").to_pylist()], np.uint64)
+            h = np.array([hashed(w.encode("utf-8", "surrogatepass"), _SEED) for w in b.column("word").to_pylist()], np.uint64)
             order = np.argsort(h)
             yield _blobs(h[order], b.column("n").to_numpy()[order], segments)
 
@@ -213,33 +222,33 @@ class Scorer:
         self._clear()
 
     def _clear(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.names: list[bytes] = []
+        self.at = _Numbers()
         self.hashes, self.estimate, self.exact = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64)
 
     def ids(self, docs: list[list[bytes]]) -> list[np.ndarray]:
-        new = {w for ws in docs for w in ws if w not in self.at}
-        if len(self.at) + len(new) > _CACHED and self.at:
+        if len(self.at) > _CACHED:
             self._clear()
-            new = {w for ws in docs for w in ws}
-        if new:
-            fresh = list(new)
-            self.at.update(zip(fresh, range(len(self.names), len(self.names) + len(fresh)), strict=True))
-            self.names += fresh
-            h = np.fromiter(map(word_hash, fresh), np.uint64, len(fresh))
+        out = [np.fromiter(map(self.at.__getitem__, ws), np.int64, len(ws)) for ws in docs]
+        fresh = self.at.names[len(self.hashes) :]
+        if fresh:
+            h = np.array([hashed(w, _SEED) for w in fresh], np.uint64)
             self.hashes = np.concatenate([self.hashes, h])
             self.estimate = np.concatenate([self.estimate, expected(self.words.level(h))])
-            self.exact = np.concatenate([self.exact, np.fromiter((self.frequent.get(w, 0) for w in fresh), np.int64, len(fresh))])
-        return [np.fromiter(map(self.at.__getitem__, ws), np.int64, len(ws)) for ws in docs]
+            get = self.frequent.get
+            self.exact = np.concatenate([self.exact, np.array([get(w, 0) for w in fresh], np.int64)])
+        return out
 
-    def log_probs(self, ids: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of the smoothed probability of each token after the one before it, and whether this block of the filter has its range."""
+    def log_probs(self, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """log10 of the smoothed probability of each token after the one before it; 0 where another block of the filter has its range."""
+        pairs, where = np.unique((before << 32) | ids, return_inverse=True)
+        before, ids = pairs >> 32, pairs & 0xFFFFFFFF
         h = pair_hashes(self.hashes[before], self.hashes[ids])
         mine = self.pairs.own[ranges(h, len(self.pairs.own))]
         seen, context = expected(self.pairs.level(h)), self.estimate[before]
         bigram = np.where(context > 0, np.minimum(seen / np.maximum(context, 1), 1), 0)
         alone = (self.estimate[ids] + 1) / self.least
-        return np.log10(np.where(context > 0, BIGRAM_SHARE * bigram + (1 - BIGRAM_SHARE) * alone, alone)), mine
+        logs = np.log10(np.where(context > 0, BIGRAM_SHARE * bigram + (1 - BIGRAM_SHARE) * alone, alone))
+        return np.where(mine, logs, 0.0)[where]
 
 
 def _partial(docs: DataFrame, scorer, first: bool) -> DataFrame:
@@ -251,29 +260,22 @@ def _partial(docs: DataFrame, scorer, first: bool) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = scorer()
         for b in batches:
-            docs, at = [tokens_of(t) for t in b.column("text").to_pylist()], 0
-            while at < len(docs):
-                to, n = at, 0
-                while to < len(docs) and (to == at or n + len(docs[to]) <= _TOKENS):
-                    n += len(docs[to])
-                    to += 1
-                yield block(own, docs[at:to], b.slice(at, to - at))
-                at = to
+            if b.num_rows:
+                yield block(own, [tokens_of(t) for t in b.column("text").to_pylist()], b)
 
     def block(own: Scorer, docs: list[list[bytes]], b: pa.RecordBatch) -> pa.RecordBatch:
         per = own.ids(docs)
         ids, before = np.concatenate(per), np.concatenate([np.roll(x, 1) for x in per])
         lengths = np.array([len(x) for x in per])
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        logs, mine = own.log_probs(ids, before)
-        lm = np.add.reduceat(np.where(mine, logs, 0.0), starts)
+        lm = np.add.reduceat(own.log_probs(ids, before), starts)
         rids = b.column("rid").to_numpy()
         exact = own.exact[ids]
         known = np.add.reduceat((exact > 0).astype(np.int64), starts)
         base = np.add.reduceat(np.log10(exact + 1.0), starts)
         rare = np.flatnonzero(exact == 0) if first else np.zeros(0, np.int64)
         pairs, tf = np.unique((np.repeat(np.arange(len(docs)), lengths)[rare] << 32) | ids[rare], return_counts=True)
-        words = [own.names[i] for i in (pairs & 0xFFFFFFFF).tolist()]
+        words = [own.at.names[i] for i in (pairs & 0xFFFFFFFF).tolist()]
         more = len(pairs)
         own_words = pa.array([f"\n{r}" for r in rids.tolist()], pa.string())  # white space: no word, and no two alike
         pad = lambda a, t: pa.concat_arrays([pa.array(a, t), pa.nulls(more, t)])
