@@ -52,9 +52,7 @@ def within_edits(a: str, b: str, edits: int) -> Column:
     or, within the row, an insertion (one up). The lines match if the diagonal of the two ends is in the last state.
     """
     width = 2 * edits + 1
-    rows, other = f"split({a}, '')", f"split({b}, '')"
-    equal = " + ".join(f"if(coalesce(x = get(o, j + {k - edits}), false), {1 << k}L, 0L)" for k in range(width))
-    masks = f"transform(transform({rows}, (x, j) -> struct(x, j)), p -> element_at(transform(array(p), q -> {equal.replace('x =', 'q.x =').replace('j +', 'q.j +').replace('get(o', f'get({other}')}), 1))"
+    masks = "transform(o.a, (x, j) -> " + " + ".join(f"if(coalesce(x = get(o.b, j + {k - edits}), false), {1 << k}L, 0L)" for k in range(width)) + ")"
     start = ", ".join(f"{sum(1 << (edits + i) for i in range(e + 1))}L as r{e}" for e in range(edits + 1))
     new = ["(s.r0 & m)"]
     for e in range(1, edits + 1):
@@ -62,7 +60,9 @@ def within_edits(a: str, b: str, edits: int) -> Column:
     step = ", ".join(f"{x} as r{e}" for e, x in enumerate(new))
     last = f"aggregate({masks}, struct({start}), (s, m) -> struct({step})).r{edits}"
     apart = f"(char_length({b}) - char_length({a}))"
-    return F.expr(f"abs{apart} <= {edits} and (shiftrightunsigned({last}, {apart} + {edits}) & 1L) = 1")
+    # The lambda variable o holds the split lines, so that they are split once a pair.
+    reached = f"element_at(transform(array(struct(split({a}, '') as a, split({b}, '') as b)), o -> {last}), 1)"
+    return F.expr(f"abs{apart} <= {edits} and (shiftrightunsigned({reached}, {apart} + {edits}) & 1L) = 1")
 
 
 def split_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
