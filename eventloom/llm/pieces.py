@@ -11,9 +11,9 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +25,19 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: A run of marks and what follows up to the next mark. No piece crosses from a character to a mark, so words are segmented apart.
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-_CACHED = 200_000
+_CACHED = 500_000
 
 
 @dataclass
 class Vocabulary:
-    """pieces: text -> (score, id); bytes_at: byte -> id; texts: id -> what it stands for as UTF-8; merges: a merge model."""
+    """pieces: text -> (score, id); bytes_at: byte -> id; texts: id -> what it stands for as UTF-8; merges: a merge model.
+
+    endings has every ending of a piece and whether it is a piece that the model can come to: a step goes back no further."""
 
     pieces: dict[str, tuple[float, int]]
     bytes_at: list[int]
     texts: list[bytes]
-    longest: int
+    endings: dict[str, bool]
     merges: bool = True
 
     @staticmethod
@@ -58,7 +60,9 @@ class Vocabulary:
         for text in pieces:
             if MARK in text.lstrip(MARK):
                 raise ValueError(f"the piece {text!r} crosses into a mark: words can't be segmented apart")
-        return Vocabulary(pieces, spelled, texts, max(map(len, pieces), default=1), merges)
+        endings = {text[i:]: False for text in pieces for i in range(1, len(text))}
+        endings |= {text: not merges or merged(text, pieces) == [text] for text in pieces}
+        return Vocabulary(pieces, spelled, texts, endings, merges)
 
     @property
     def byte_score(self) -> float:
@@ -90,59 +94,60 @@ class Trie:
         self.stack: list[tuple[float, int, str]] = [(0.0, 0, "")]
         self.least = vocabulary.byte_score
         self.fits: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
 
-    def visit(self, word: str) -> list[int]:
+    def visit(self, word: str) -> bytes:
+        """The word's ids, as 32-bit numbers."""
         if len(self.fits) > _CACHED:
             self.fits.clear()
-        shared = len(commonprefix((self.path, word)))
+        path, shared = self.path, 0
+        while shared < len(path) and shared < len(word) and path[shared] == word[shared]:
+            shared += 1
         del self.stack[shared + 1 :]
         self.path = word
         step = self._last if self.vocabulary.merges else self._best
         for end in range(shared + 1, len(word) + 1):
-            self.steps += 1
             self.stack.append(step(word, end))
-        parts, end = [], len(word)
+        self.steps += len(word) - shared
+        ids, end, pieces = [], len(word), self.vocabulary.pieces
         while end:
             _, start, piece = self.stack[end]
-            parts.append(piece)
+            found = pieces.get(piece)
+            if found:
+                ids.append(found[1])
+            else:
+                ids += [self.vocabulary.bytes_at[x] for x in reversed(piece.encode("utf-8", "surrogatepass"))]
             end = start
-        out: list[int] = []
-        for piece in reversed(parts):
-            found = self.vocabulary.pieces.get(piece)
-            out += [found[1]] if found else [self.vocabulary.bytes_at[x] for x in piece.encode("utf-8", "surrogatepass")]
-        return out
+        ids.reverse()
+        return array("i", ids).tobytes()
 
     def _best(self, word: str, end: int) -> tuple[float, int, str]:
-        pieces, stack = self.vocabulary.pieces, self.stack
+        pieces, stack, endings = self.vocabulary.pieces, self.stack, self.vocabulary.endings
         best = (stack[end - 1][0] + self.least, end - 1, word[end - 1 : end])
-        for begin in range(max(0, end - self.vocabulary.longest), end):
+        for begin in range(end - 1, -1, -1):
             piece = word[begin:end]
-            found = pieces.get(piece)
-            if found is not None and (score := stack[begin][0] + found[0]) > best[0]:
+            known = endings.get(piece)
+            if known is None:
+                break
+            if known and (score := stack[begin][0] + pieces[piece][0]) > best[0]:
                 best = (score, begin, piece)
         return best
 
     def _last(self, word: str, end: int) -> tuple[float, int, str]:
-        pieces, stack = self.vocabulary.pieces, self.stack
-        for begin in range(max(0, end - self.vocabulary.longest), end - 1):
+        stack, endings, fits = self.stack, self.vocabulary.endings, self.fits
+        for begin in range(end - 2, -1, -1):
             piece = word[begin:end]
-            if piece in pieces and self._reached(piece) and (not begin or self._neighbours(stack[begin][2], piece)):
-                return 0.0, begin, piece
+            known = endings.get(piece)
+            if known is None:
+                break
+            if known:
+                pair = (stack[begin][2], piece)
+                fit = fits.get(pair)
+                if fit is None:
+                    fit = fits[pair] = not begin or merged(pair[0] + piece, self.vocabulary.pieces) == [*pair]
+                if fit:
+                    return 0.0, begin, piece
         return 0.0, end - 1, word[end - 1 : end]
 
-    def _reached(self, piece: str) -> bool:
-        known = self.whole.get(piece)
-        if known is None:
-            known = self.whole[piece] = merged(piece, self.vocabulary.pieces) == [piece]
-        return known
-
-    def _neighbours(self, left: str, right: str) -> bool:
-        known = self.fits.get((left, right))
-        if known is None:
-            known = self.fits[left, right] = merged(left + right, self.vocabulary.pieces) == [left, right]
-        return known
-
 
 def words_of(text: str) -> list[str]:
     """The marked words of a text: a mark goes before it and stands for each space."""
@@ -157,14 +162,13 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [words_of(t or "") for t in texts]
-        new = {w for ws in split for w in ws if w not in self.held}
-        if len(self.held) + len(new) > _CACHED and self.held:
+        new = set().union(*split)
+        if len(self.held) > _CACHED:
             self.held.clear()
-            new = {w for ws in split for w in ws}
-        for w in sorted(new):
-            self.held[w] = np.array(self.trie.visit(w), np.int32).tobytes()
-        held = self.held
-        return [np.frombuffer(b"".join([held[w] for w in ws]), np.int32) for ws in split]
+        held, visit = self.held, self.trie.visit
+        for w in sorted(new.difference(held)):
+            held[w] = visit(w)
+        return [np.frombuffer(b"".join(map(held.__getitem__, ws)), np.int32) for ws in split]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids. Marks become spaces again, the one in front goes."""
