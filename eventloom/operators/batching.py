@@ -35,8 +35,8 @@ def packed(windows: DataFrame, budget: int, least: int = 1, seed: int = 0, shard
     by = Window.partitionBy("shard", "batch")
     out = out.withColumn("place", F.row_number().over(by.orderBy("at")) - 1).withColumn("size", F.count(F.lit(1)).over(by))
     if drop_last:
-        tail = F.col("batch") == F.max("batch").over(Window.partitionBy("shard"))
-        out = out.where(~(tail & (F.col("size") < least)))
+        out = out.withColumn("tail", F.col("batch") == F.max("batch").over(Window.partitionBy("shard")))
+        out = out.where(~(F.col("tail") & (F.col("size") < least)))
     return out.select("shard", "batch", "place", "sample_id", "start", "length")
 
 

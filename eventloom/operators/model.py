@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from eventloom.constants import IGNORED
 
@@ -53,7 +54,7 @@ def mlp(df: DataFrame, column: str, first: Any, second: Any, out: str) -> DataFr
     import numpy as np
 
     w1, b1, w2, b2 = (np.asarray(a, np.float32) for a in (*first, *second))
-    schema = df.select("*").schema.add(out, "array<float>")
+    schema = StructType([*df.schema.fields, StructField(out, ArrayType(FloatType()))])
 
     def run(frames: Iterator[Any]) -> Iterator[Any]:
         from math import erf
