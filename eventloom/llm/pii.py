@@ -65,11 +65,13 @@ def iban_check(country: str, account: str) -> str:
     return f"{98 - int(number) % 97:02d}"
 
 
-_CLASSES = (string.digits, string.ascii_lowercase, string.ascii_uppercase)
+# The letters of Latin-1 beyond ASCII.
+_MORE = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß"
+_CLASSES = (string.digits, string.ascii_lowercase, string.ascii_uppercase, _MORE)
 
 
 def permute_chars(text: str, key: bytes, tweak: bytes, back: bool = False) -> str:
-    """Digits, lower and upper letters each within their class, all places at once; other characters stay."""
+    """Digits, lower, upper and accented letters each within their class, all places at once; other characters stay."""
     places = [(i, c) for i, ch in enumerate(text) for c in _CLASSES if ch in c]
     value = size = 0
     for i, c in places:
@@ -162,7 +164,7 @@ def _date(m: re.Match, key: bytes, back: bool) -> str | None:
 
 #: (kind, pattern, replacement or None where the value is not valid), tried in this order; earlier kinds keep their place.
 FINDERS: tuple[tuple[str, re.Pattern, Callable], ...] = (
-    ("email", re.compile(r"(?<![A-Za-z0-9._%+\-@])[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"), _email),
+    ("email", re.compile(r"(?<![\w.%+\-@])[\w.%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"), _email),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{1,4}){3,8}(?![A-Za-z0-9])"), _iban),
     ("date", re.compile(r"(?<![0-9./\-])(?:(?P<iso>[0-9]{4}-[0-9]{2}-[0-9]{2})|(?P<dmy>[0-9]{2}(?P<s>[./])(?:0[1-9]|1[0-2])(?P=s)[0-9]{4})|(?P<mdy>[0-9]{2}/[0-9]{2}/[0-9]{4}))(?![0-9]|[./\-][0-9])"), _date),
     ("ssn", re.compile(r"(?<![0-9\-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9\-])"), _ssn),

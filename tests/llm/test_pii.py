@@ -61,3 +61,11 @@ def test_linked_across_documents(spark):
     assert pii.pseudonymised(df.limit(0)).collect() == []
     other = pii.pseudonymised(df, key=b"another").where("doc_id = 4").first().text
     assert other != by[4].text
+
+
+def test_accented_addresses():
+    t = "vu Déjà.vü7@mail7.example.com et DÉJÀ.VÜ7@MAIL7.example.com"
+    found = pii.find(t)
+    assert [t[f.start : f.end] for f in found] == ["Déjà.vü7@mail7.example.com", "DÉJÀ.VÜ7@MAIL7.example.com"]
+    assert found[0].pseudonym == found[1].pseudonym != "déjà.vü7@mail7.example.com"
+    assert pii.replaced(found[0].pseudonym, pii.find(found[0].pseudonym, back=True)) == "déjà.vü7@mail7.example.com"
