@@ -27,11 +27,11 @@ def segments(n: str, edits: int) -> list[tuple[str, str]]:
 
 
 def marks(line: str, n: str, edits: int) -> tuple[list[str], list[str]]:
-    """SQL for the hashed index entries of a line, one a segment, and for its probes.
+    """SQL for the hashed index entries of a line, one a segment, and for its probes beyond these.
 
     A line probes the indexes of lines of its own length and of up to `edits` code points less. In an index of shorter lines by
     d, the start of segment i may be off by at most i - 1 edits before it and by at most edits + 1 - i after it, so only
-    that many substrings are probed.
+    that many substrings are probed. Those of its own length in place are its index entries themselves.
     """
     mark = lambda length, i, at, size: f"xxhash64({length}, {i}, substring({line}, {at}, {size}))"
     index = [mark(n, i, *seg) for i, seg in enumerate(segments(n, edits), 1)]
@@ -40,7 +40,7 @@ def marks(line: str, n: str, edits: int) -> tuple[list[str], list[str]]:
         length = f"({n} - {d})"
         for i, (at, size) in enumerate(segments(length, edits), 1):
             low, high = max(-(i - 1), d - (edits + 1 - i)), min(i - 1, d + (edits + 1 - i))
-            probes += [mark(length, i, f"({at} + {shift})", size) for shift in range(low, high + 1)]
+            probes += [mark(length, i, f"({at} + {shift})", size) for shift in range(low, high + 1) if d or shift]
     return index, probes
 
 
@@ -92,11 +92,12 @@ def links(lines: DataFrame, distinct: DataFrame, max_edits: int = MAX_EDITS) ->
     if max_edits == 1:
         full = cut(index.groupBy("mark", "n").agg(F.count(F.lit(1)).alias("lines")).where("lines > n").select("mark"))
         if not full.isEmpty():
-            crowded = probe.join(full, "mark", "left_semi").select("key").distinct()
+            crowded = index.unionByName(probe).join(full, "mark", "left_semi").select("key").distinct()
             index, probe = (x.join(full, "mark", "left_anti") for x in (index, probe))
             found = _by_deletion(lines, cut(crowded))
-    pairs = probe.select("mark", F.col("key").alias("a"), F.col("n").alias("na")).join(index.select("mark", F.col("key").alias("b"), F.col("n").alias("nb")), "mark")
-    pairs = pairs.where(f"a != b and (na != nb or a < b) and na - nb between 0 and {max_edits}").select("a", "b")
+    entry = index.select("mark", F.col("key").alias("b"), F.col("n").alias("nb"))
+    named = lambda x: x.select("mark", F.col("key").alias("a"), F.col("n").alias("na"))
+    pairs = named(index).join(entry, "mark").where("a < b and na = nb").unionByName(named(probe).join(entry, "mark").where(f"a != b and na - nb between 0 and {max_edits}")).select("a", "b")
     found = cut((pairs if found is None else pairs.unionByName(found)).distinct())
     asked = cut(found.select(F.col("a").alias("key")).unionByName(found.select(F.col("b").alias("key"))).distinct())
     texts = cut(lines.select("key", "line").join(_small(asked), "key", "left_semi").dropDuplicates(["key"]))
