@@ -164,10 +164,11 @@ def text_tokens(spark, d):
     return tables.events(spark, d).where("text_value is not null").groupBy("text_value", text.text_token(F.col("text_value")).alias("token")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"select event_ord, x[1] as x, x[2] as by_range, x[3] as by_log, x[4] as present from (select event_ord, {o.FEATURES} as x from ev where event_ord >= 0)")
+@query(f"select event_ord, round(x[1], 9) as x, x[2] as by_range, x[3] as by_log, x[4] as present from (select event_ord, {o.FEATURES} as x from ev where event_ord >= 0)")
 def numeric_features(spark, d):
     own = tables.events(spark, d).where("event_ord >= 0").select("event_ord", values.numeric_features(F.col("numeric_value"), F.col("ref_low"), F.col("ref_high")).alias("f"))
-    return own.select("event_ord", *(F.get("f", F.lit(i)).alias(n) for i, n in enumerate(("x", "by_range", "by_log", "present"))))
+    parts = {n: F.get("f", F.lit(i)) for i, n in enumerate(("x", "by_range", "by_log", "present"))}
+    return own.select("event_ord", F.round(parts.pop("x"), 9).alias("x"), *(c.alias(n) for n, c in parts.items()))
 
 
 # Statistics
@@ -443,10 +444,10 @@ def _embedding_rows(spark, d):
     return pretokenize.embedding_rows(tables.events(spark, d), _samples(spark, d), _prepended(spark, d), embedding.text_ids(embedding.unique_texts(tables.events(spark, d))))
 
 
-@query("select sample_id, ord, cast(embedding_text_id as int) as embedding_text_id, cast(label as int) as label, features[1] as x, features[4] as present, s / 86400.0 as age, round((s - mean) / std, 6) as age_normalized from er, ag")
+@query("select sample_id, ord, cast(embedding_text_id as int) as embedding_text_id, cast(label as int) as label, round(features[1], 9) as x, features[4] as present, s / 86400.0 as age, round((s - mean) / std, 6) as age_normalized from er, ag")
 def embedding_rows(spark, d):
     own = _embedding_rows(spark, d)
-    return own.select("sample_id", "ord", "embedding_text_id", "label", F.get("features", F.lit(0)).alias("x"), F.get("features", F.lit(3)).alias("present"), "age", F.round("age_normalized", 6).alias("age_normalized"))
+    return own.select("sample_id", "ord", "embedding_text_id", "label", F.round(F.get("features", F.lit(0)), 9).alias("x"), F.get("features", F.lit(3)).alias("present"), "age", F.round("age_normalized", 6).alias("age_normalized"))
 
 
 @query("select er.sample_id, er.ord, cast(er.embedding_text_id as int) as embedding_text_id, cast(e.embedding[1] as double) as first, cast(e.embedding[64] as double) as last from er join embeddings e on e.vec_id = er.embedding_text_id")
@@ -574,12 +575,12 @@ def rope_features(spark, d):
     return each.select("sample_id", "ord", "i", F.round("x.sin", 6).alias("sin"), F.round("x.cos", 6).alias("cos"))
 
 
-@query("select sample_id, ord, features[4] > 0.5 as present, case when features[4] > 0.5 then 2.0 * features[1] + 1.0 else features[1] end as first from er")
+@query("select sample_id, ord, features[4] > 0.5 as present, round(case when features[4] > 0.5 then 2.0 * features[1] + 1.0 else features[1] end, 9) as first from er")
 def film_gate(spark, d):
     own = _embedding_rows(spark, d)
     four = lambda x: F.array(*[F.lit(x)] * 4)
     moved = model.film(F.col("features"), four(2.0), four(1.0), F.col("features"))
-    return own.select("sample_id", "ord", model.present(F.col("features")).alias("present"), F.get(moved, F.lit(0)).alias("first"))
+    return own.select("sample_id", "ord", model.present(F.col("features")).alias("present"), F.round(F.get(moved, F.lit(0)), 9).alias("first"))
 
 
 @query("select sample_id, cast(start as int) as start, cast(arg_max(token_id, place) as int) as token, cast(arg_max(age, place) as double) as age from wt group by 1, 2")

@@ -79,7 +79,7 @@ co0 as (
   select s.sample_id, s.id, s.index_t, s.split, b.time, 1, e.time, {", ".join("e." + c for c in _NAMES.split(", "))}
   from sm s join br b on b.subject_id = s.id join ev e on e.subject_id = s.id and e.time <= s.index_t and e.code <> 'MEDS_BIRTH'
 ),
-co1 as (select *, row_number() over (partition by sample_id order by later, time, event_ord) - 1 as ord, count(*) over (partition by sample_id) as n_events from co0),
+co1 as (select *, cast(row_number() over (partition by sample_id order by later, time, event_ord) - 1 as int) as ord, count(*) over (partition by sample_id) as n_events from co0),
 co as (select *, 1.0::double / ((select count(*) from sm)::double * n_events) as w from co1),
 rs as (select code as key, numeric_value as v from (select *, row_number() over (partition by code order by sample_id, ord) as rk from co where numeric_value is not null) where rk <= {RESERVOIR}),
 rl as (select key, list_sort(list(v)) as v, count(*) as n from rs group by 1),
