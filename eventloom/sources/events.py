@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,26 +89,39 @@ def copy_metadata(spark: SparkSession, source: str, target: str) -> bool:
     return bool(spark._jvm.org.apache.hadoop.fs.FileUtil.copy(systems[0], paths[0], systems[1], paths[1], False, conf))
 
 
-def read_document(path: str) -> Any:
-    """A JSON or YAML document on the driver."""
-    kind = Path(path).suffix.lower()
-    if kind == ".json":
-        return json.loads(Path(path).read_text())
-    if kind in (".yaml", ".yml"):
-        import yaml
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first().value
 
-        return yaml.safe_load(Path(path).read_text())
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One file, in whatever store Spark writes."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_document(spark: SparkSession, path: str) -> Any:
+    """A JSON or YAML document, by its ending."""
+    kind = path.rpartition(".")[2].lower()
+    if kind == "json":
+        return json.loads(read_text(spark, path))
+    if kind in ("yaml", "yml"):
+        try:
+            import yaml
+        except ModuleNotFoundError as missing:
+            raise ValueError("YAML documents need the yaml package") from missing
+        return yaml.safe_load(read_text(spark, path))
     raise ValueError(f"{path} is neither JSON nor YAML")
 
 
-def write_document(data: Any, path: str, overwrite: bool = False) -> bool:
+def write_document(spark: SparkSession, data: Any, path: str, overwrite: bool = False) -> bool:
     """Writes JSON (infinite bins as Infinity); an existing file stays unless overwrite. Nothing is left if data can't be written."""
-    place = Path(path)
-    if place.exists() and not overwrite:
+    if _exists(spark, path) and not overwrite:
         return False
-    text = json.dumps(data, indent=2)
-    place.parent.mkdir(parents=True, exist_ok=True)
-    place.write_text(text)
+    write_text(spark, path, json.dumps(data, indent=2))
     return True
 
 

@@ -48,16 +48,16 @@ def test_datasets_and_metadata(spark, tmp_path):
     assert files.copy_metadata(spark, f"{tmp_path}/d", f"{tmp_path}/e") and not files.copy_metadata(spark, f"{tmp_path}/none", f"{tmp_path}/f")
 
 
-def test_documents(tmp_path):
+def test_documents(spark, tmp_path):
     path = f"{tmp_path}/a/b.json"
-    assert files.write_document({"x": math.inf}, path) and not files.write_document({"x": 1}, path)
-    assert files.read_document(path) == {"x": math.inf}
-    assert files.write_document({"x": 1}, path, overwrite=True) and files.read_document(path) == {"x": 1}
+    assert files.write_document(spark, {"x": math.inf}, path) and not files.write_document(spark, {"x": 1}, path)
+    assert files.read_document(spark, path) == {"x": math.inf}
+    assert files.write_document(spark, {"x": 1}, path, overwrite=True) and files.read_document(spark, path) == {"x": 1}
     with pytest.raises(TypeError):
-        files.write_document({"x": object()}, f"{tmp_path}/c.json")
+        files.write_document(spark, {"x": object()}, f"{tmp_path}/c.json")
     assert not (tmp_path / "c.json").exists()
     with pytest.raises(ValueError):
-        files.read_document("x.txt")
+        files.read_document(spark, "x.txt")
 
 
 def test_sinks(spark, tmp_path):
