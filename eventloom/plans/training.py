@@ -74,7 +74,8 @@ def _from_cohort(own: DataFrame, settings: Settings) -> Trained:
     breaks, stages = scan(own, settings)
     ages = statistics.age_moments(own)
     if settings.mode == "joint":
-        named = parts(own, breaks, stages, settings).withColumn("token", tokens.joint(settings.separator))
+        # Every stage of the cohort is known to it, so stages need no look-up here.
+        named = parts(own, breaks, None, settings).withColumn("token", tokens.joint(settings.separator))
         entries = vocabulary.joint_vocabulary(named, settings.vocab_size)
     else:
         base = tokens.base_code(F.col("code"), settings.separator, settings.remove_prefixes)
@@ -92,7 +93,7 @@ def fit(events: DataFrame, samples: DataFrame, settings: Settings = Settings())
         breaks = _literal(spark, made.breaks)
         stages = _literal(spark, made.stages)
         if settings.mode == "joint":
-            named = parts(own, breaks, stages, settings).withColumn("token", tokens.joint(settings.separator))
+            named = parts(own, breaks, None, settings).withColumn("token", tokens.joint(settings.separator))
             made.vocabulary = vocabulary.joint_vocabulary(named, settings.vocab_size)
         return Trained(settings, _literal(spark, made.vocabulary), _literal(spark, made.age_stats), breaks, stages)
     finally:
