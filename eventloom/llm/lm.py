@@ -21,7 +21,7 @@ END = ""
 BASE = 2.0
 BITS, PROBES = 8, 4
 #: The largest filter that is broadcast; more n-grams are scored in blocks of such filters, one pass over the texts for each.
-FILTER_BYTES = 64 << 20
+FILTER_BYTES = 256 << 20
 #: So many of the most frequent words have their exact counts broadcast; the rest are joined.
 FREQUENT = 1 << 17
 #: Share of the bigram estimate in the interpolated probability.
