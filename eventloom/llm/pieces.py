@@ -14,6 +14,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,7 @@ class Vocabulary:
     merges: bool = True
 
     @staticmethod
+    @lru_cache(4)
     def read(path: str = MODEL, merges: bool = True) -> Vocabulary:
         import sentencepiece
 

@@ -30,7 +30,7 @@ def test_forward_sums_all_segmentations():
     rnd = np.random.default_rng(3)
     probs = rnd.random((len(pieces) + 1, 2))
     probs[0] = langid.STRANGE
-    model = langid.Model(["x", "y"], pieces, probs, np.zeros(2), 3)
+    model = langid.Model(["x", "y"], langid.with_endings(pieces), probs, np.zeros(2), 3)
     words = ["a", "abab", "abcz", "bab", "zz", "abc"]
     got = np.exp(langid.word_scores(words, model))
     for w, row in zip(words, got, strict=True):
@@ -42,7 +42,7 @@ def test_expectation_maximisation_raises_likelihood():
     words = {w: 1 + i % 3 for i, w in enumerate((EN + DE).split())}
 
     def total(probs):
-        model = langid.Model(["x"], pieces, probs.reshape(-1, 1), np.zeros(1), max(map(len, pieces)))
+        model = langid.Model(["x"], langid.with_endings(pieces), probs.reshape(-1, 1), np.zeros(1), max(map(len, pieces)))
         return sum(n * s for n, s in zip(words.values(), langid.word_scores(list(words), model)[:, 0], strict=True))
 
     steps = [total(langid.fit_pieces(words, pieces, r, 1e-9)) for r in (1, 2, 4)]
