@@ -12,6 +12,7 @@ from eventloom import schema
 from eventloom.constants import HALF_YEAR, demographic_labels, interval_labels, quantile_labels
 from eventloom.functions import text, values
 from eventloom.operators import batching, cohort, embedding, model, sequence, statistics, tokens, visits, vocabulary, windows
+from eventloom.operators.order import numbered
 from eventloom.plans import pretokenize, training
 from eventloom.sources import events as files
 from eventloom.sources import tables
@@ -174,6 +175,11 @@ def numeric_features(spark, d):
 # Statistics
 
 
+@query("select key, v as numeric_value from rs")
+def reservoir_first(spark, d):
+    return statistics.reservoir(_cohort(spark, d), o.RESERVOIR)
+
+
 @query("select key, unnest(range(1, len(b) + 1)) as place, unnest(b) as value from bk")
 def quantile_breaks(spark, d):
     own = statistics.quantile_breaks(statistics.reservoir(_cohort(spark, d), o.RESERVOIR), o.QUANTILES)
@@ -556,9 +562,22 @@ def eval_subset(spark, d):
     return batching.eval_subset(_windows(spark, d), 3, o.BUDGET, 3).select("sample_id", "start", "length")
 
 
+@query(f"select sample_id, cast(start as int) as start, cast(row_number() over (order by {o.chance(11, 'sample_id', 'start')}, sample_id, start) - 1 as bigint) as place from ws")
+def shuffled_windows(spark, d):
+    return numbered(_windows(spark, d).select("sample_id", "start"), batching.shuffled_order(11, "sample_id", "start"), "place")
+
+
 # Model data
 
 
+@query("select vec_id, round(embedding[1] / sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * x)) / 64 + 1e-6), 6) as first, round(sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * x)) / 64), 6) as size from embeddings")
+def rms_norm(spark, d):
+    own = tables.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    own = own.withColumn("y", model.rms_norm(F.col("x")))
+    size = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v) / F.size("x"))
+    return own.select("vec_id", F.round(F.get("y", F.lit(0)), 6).alias("first"), F.round(size, 6).alias("size"))
+
+
 @query("select sample_id, cast(start as int) as start, max(length) >= 2 as placed, false as aged from ws group by all")
 def positions_mode(spark, d):
     own = _windows(spark, d)
