@@ -16,6 +16,7 @@ from eventloom.operators import batching, embedding, statistics, visits, vocabul
 from eventloom.plans import pretokenize as plans
 from eventloom.plans import training
 from eventloom.sources import events as files
+from eventloom.sources.literal import literal
 
 
 def apply_transforms(spark: SparkSession, input_dir: str, output_dir: str, prefixes: tuple[str, ...] = MOVED_PREFIXES, check_description: bool = True, per_file: bool = False) -> dict[str, int]:
@@ -56,7 +57,7 @@ def train_vocabulary(
 def _with_overrides(spark: SparkSession, trained: training.Trained, quantile_breaks_path: str | None) -> training.Trained:
     if quantile_breaks_path and trained.breaks is not None:
         given = files.read_document(spark, quantile_breaks_path)
-        new = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in given.items()], "key string, breaks array<double>")
+        new = literal(spark, [(k, [float(x) for x in v]) for k, v in given.items()], "key string, breaks array<double>")
         trained.breaks = statistics.override_breaks(trained.breaks, new)
     return trained
 

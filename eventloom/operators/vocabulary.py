@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from eventloom.constants import UNKNOWN_STAGE, demographic_labels, interval_labels, quantile_labels
 from eventloom.functions.text import normalize_text
 from eventloom.functions.values import entropy_score
+from eventloom.sources.literal import literal
 
 #: Scores closer than this count as equal, then the token decides: sums in parallel differ in their last digits.
 DIGITS = 12
@@ -41,7 +42,7 @@ def joint_vocabulary(tokens: DataFrame, size: int) -> DataFrame:
 
 def static_entries(spark: SparkSession, kind: str, labels: Iterable[str]) -> DataFrame:
     """Entries of fixed labels, in order (place 0, 1, ...), weight -1."""
-    rows = spark.createDataFrame([(i, label) for i, label in enumerate(labels)], "place int, label string")
+    rows = literal(spark, [(i, label) for i, label in enumerate(labels)], "place int, label string")
     return rows.select(F.col("place").cast("bigint").alias("place"), *_columns(F.lit(kind), F.col("label"), F.lit(-1.0)))
 
 
@@ -57,7 +58,7 @@ def factorized_vocabulary(weighted: DataFrame, base: Column, stages: DataFrame |
         parts.append(static_entries(spark, "quantile", quantile_labels(quantiles)).withColumn("section", F.lit(0)))
     if stages is not None:
         # Unbounded stages would be data, not a label set; their order needs no more than the section's top `size`.
-        own = stages.select(F.concat(F.lit("STAGE:"), "stage").alias("label"), F.lit(0).alias("last")).unionByName(spark.createDataFrame([(UNKNOWN_STAGE, 1)], "label string, last int"))
+        own = stages.select(F.concat(F.lit("STAGE:"), "stage").alias("label"), F.lit(0).alias("last")).unionByName(literal(spark, [(UNKNOWN_STAGE, 1)], "label string, last int"))
         placed = own.orderBy("last", "label").limit(size).withColumn("place", F.row_number().over(Window.orderBy("last", "label")).cast("bigint"))
         parts.append(placed.select("place", *_columns(F.lit("stage"), F.col("label"), F.lit(-1.0))).withColumn("section", F.lit(1)))
     scored = []
@@ -137,7 +138,7 @@ def prepended(vocabulary: DataFrame, kind: str, labels: list[str], size: int | N
     spark = vocabulary.sparkSession
     there = [r.token for r in vocabulary.where((F.col("type") == kind) & F.col("token").isin(labels)).select("token").collect()]
     new = [x for x in labels if x not in there]
-    rows = spark.createDataFrame([(i, x) for i, x in enumerate(new)], "token_id int, token string")
+    rows = literal(spark, [(i, x) for i, x in enumerate(new)], "token_id int, token string")
     front = rows.select("token_id", *_columns(F.lit(kind), F.col("token"), F.lit(-1.0)))
     back = vocabulary.withColumn("token_id", F.col("token_id") + F.lit(len(new)))
     rest = [c for c in vocabulary.columns if c not in front.columns]
@@ -155,7 +156,7 @@ def with_demographics(vocabulary: DataFrame, size: int | None = None) -> DataFra
 
 def missing_labels(vocabulary: DataFrame, labels: list[str]) -> DataFrame:
     """(label): required labels that no entry has."""
-    want = vocabulary.sparkSession.createDataFrame([(x,) for x in labels], "label string")
+    want = literal(vocabulary.sparkSession, [(x,) for x in labels], "label string")
     return want.join(vocabulary.select(F.col("token").alias("label")), "label", "left_anti")
 
 

@@ -61,7 +61,9 @@ def sequences(
     if demographics:
         return sequence.assembled(known, trained.age_stats, prefix.select(*sequence.SAMPLE, "prefix")), skipped
     out = sequence.assembled(known, trained.age_stats)
-    empty = own.select(*sequence.SAMPLE).distinct().join(out.select("sample_id"), "sample_id", "left_anti")
+    # Every sample with a birth has an event, so those without a known one are found without the cohort.
+    born = samples.join(cohorts.births(events).select("subject_id"), "subject_id").select(*sequence.SAMPLE)
+    empty = born.join(out.select("sample_id"), "sample_id", "left_anti")
     none = {"token_ids": "array<int>", "age": "array<float>", "age_normalized": "array<float>"}
     return out.unionByName(empty.select(*sequence.SAMPLE, *(F.array().cast(k).alias(n) for n, k in none.items()), F.lit(0).alias("length"))), skipped
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.operators import cohort, statistics, tokens, vocabulary
+from eventloom.sources.literal import literal, settled
 
 
 @dataclass(frozen=True)
@@ -86,24 +87,19 @@ def _from_cohort(own: DataFrame, settings: Settings) -> Trained:
 def fit(events: DataFrame, samples: DataFrame, settings: Settings = Settings()) -> Trained:
     """A trained vocabulary, computed now: its passes share one persisted cohort, and its tables - at most vocab_size entries, a
     break list a numeric code, the stage labels, one row of moments - become literal ones, as if read from a document."""
-    spark = events.sparkSession
     own = train(events, samples).persist()
     try:
         made = _from_cohort(own, settings)
-        breaks = _literal(spark, made.breaks)
-        stages = _literal(spark, made.stages)
+        breaks = settled(made.breaks) if made.breaks is not None else None
+        stages = settled(made.stages) if made.stages is not None else None
         if settings.mode == "joint":
             named = parts(own, breaks, None, settings).withColumn("token", tokens.joint(settings.separator))
             made.vocabulary = vocabulary.joint_vocabulary(named, settings.vocab_size)
-        return Trained(settings, _literal(spark, made.vocabulary), _literal(spark, made.age_stats), breaks, stages)
+        return Trained(settings, settled(made.vocabulary), settled(made.age_stats), breaks, stages)
     finally:
         own.unpersist()
 
 
-def _literal(spark: SparkSession, df: DataFrame | None) -> DataFrame | None:
-    return None if df is None else spark.createDataFrame(df.collect(), df.schema)
-
-
 def document(trained: Trained) -> dict[str, Any]:
     """The vocabulary document; every part is bounded by the vocabulary's size or the label sets."""
     s = trained.settings
@@ -148,10 +144,10 @@ def load(spark: SparkSession, doc: dict[str, Any]) -> Trained:
         separator=c.get("separator", "/"),
     )
     rows = [(i, e["type"], e.get("code_string") if e["type"] == "code" else e.get("label"), e.get("weight")) for i, e in enumerate(doc["vocab"])]
-    entries = spark.createDataFrame(rows, "token_id int, type string, token string, weight double")
-    ages = spark.createDataFrame([(float(doc["age_stats"]["mean"]), float(doc["age_stats"]["std"]))], "mean double, std double")
-    breaks = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in (doc.get("quantile_breaks") or {}).items()], "key string, breaks array<double>")
-    stages = spark.createDataFrame([(s,) for s in doc.get("discovered_stages") or []], "stage string")
+    entries = literal(spark, rows, "token_id int, type string, token string, weight double")
+    ages = literal(spark, [(float(doc["age_stats"]["mean"]), float(doc["age_stats"]["std"]))], "mean double, std double")
+    breaks = literal(spark, [(k, [float(x) for x in v]) for k, v in (doc.get("quantile_breaks") or {}).items()], "key string, breaks array<double>")
+    stages = literal(spark, [(s,) for s in doc.get("discovered_stages") or []], "stage string")
     return Trained(settings, entries, ages, breaks if settings.emit_quantiles else None, stages)
 
 
