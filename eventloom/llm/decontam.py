@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds join texts to test items, Smith-Waterman alignment scores the copies."""
+"""Benchmark decontamination: n-gram seeds join texts to test items, Smith-Waterman alignment scores the copies."""
 
 from __future__ import annotations
 
@@ -80,19 +80,6 @@ class Index:
         same = self.grams[row] == keys[at]
         return at[same], row[same]
 
-    def rarest(self, texts_with: np.ndarray) -> Index:
-        """The index with each item's rarer half as seeds: grams in no more texts than the item's median gram."""
-        if not len(self.grams):
-            return self
-        gram_of = np.repeat(np.arange(len(self.grams)), np.diff(self.first))
-        often, item = texts_with[gram_of], self.occurs[:, 0]
-        keep = np.zeros(len(item), bool)
-        for rows in np.split(np.argsort(item, kind="stable"), np.flatnonzero(np.diff(np.sort(item))) + 1):
-            keep[rows] = often[rows] <= np.sort(often[rows])[(len(rows) - 1) // 2]
-        out = Index(self.ids, self.items, self.vocabulary, self.grams, self.first, self.occurs)
-        out._hold(self.grams[gram_of[keep]], self.occurs[keep])
-        return out
-
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """(score, end in item, end in text) of the best local alignment with linear gaps; ends exclusive, the earliest of equals.
@@ -112,6 +99,12 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+def at_most(item: np.ndarray, text: np.ndarray) -> int:
+    """A bound of align's score: a text word inside an alignment adds MATCH at most, and takes MISMATCH or GAP if it is none of the item's."""
+    total = np.append(0, np.cumsum(np.where(np.isin(text, item), MATCH, -min(MISMATCH, GAP))))
+    return int((total - np.minimum.accumulate(total)).max())
+
+
 def leaks(index: Index, text: str | None) -> list[tuple[int, float, int, int]]:
     """(item row, share of a full copy's score, start, end) in code points: the best passage for each item that reaches LEAST_SHARE."""
     words = words_of(text)
@@ -134,6 +127,8 @@ def leaks(index: Index, text: str | None) -> list[tuple[int, float, int, int]]:
             else:
                 merged.append([a, b])
         for a, b in merged:
+            if at_most(item, numbers[a:b]) < LEAST_SHARE * MATCH * len(item):
+                continue
             score, i, j = align(item, numbers[a:b])
             if score > best[0]:
                 back = align(item[:i][::-1], numbers[a : a + j][::-1])
@@ -154,38 +149,18 @@ def blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tu
         yield sorted((tuple(r) for r in part.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
 
 
-def index_of(docs: DataFrame, rows: list[tuple]) -> Index:
-    """The block's index with its rare seeds: every gram's number of texts is counted over all docs."""
-    full = Index.of(rows)
-    held = docs.sparkSession.sparkContext.broadcast(full)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = held.value
-        n = np.zeros(len(index.grams), np.int64)
-        for b in batches:
-            for text in b.column("text").to_pylist():
-                n[np.unique(index.hits(index.numbers(words_of(text)))[1])] += 1
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["gram", "n"])
-
-    texts_with = np.zeros(len(full.grams), np.int64)
-    for gram, n in map_arrow(docs.select("text"), count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n")).collect():
-        texts_with[gram] = n
-    return full.rarest(texts_with)
-
-
 def contaminated(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, score, start, end): each text's best copy of each item that it holds, and nothing for clean texts.
 
-    Two narrow passes over the texts for each block of items: one counts in how many texts each of the block's n-grams
-    occurs, one looks up the rarer half of each item's n-grams and aligns the words around the hits; no text is shuffled.
+    One narrow pass over the texts for each block of items looks up every n-gram of the items and aligns the words around
+    the hits, so a copy is met if it keeps any GRAM words in a row; no text is shuffled.
     Null texts hold nothing; a null doc_id or item_id is carried as it is; repeated rows and items are reported each.
     """
     base = fields(docs, "doc_id", "text")
     kinds = f"doc_id {sql_type(docs, 'doc_id')}, item_id {sql_type(items, 'item_id')}, score double, start bigint, end bigint"
     ids, out = to_arrow_type(items.schema["item_id"].dataType), None
     for rows in blocks(items, block_bytes):
-        held = docs.sparkSession.sparkContext.broadcast(index_of(base, rows))
+        held = docs.sparkSession.sparkContext.broadcast(Index.of(rows))
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = held.value
@@ -203,7 +178,7 @@ def clean(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) ->
     """docs without the texts that hold a copy of an item; other rows and all columns as they are, no shuffle."""
     out = docs
     for rows in blocks(items, block_bytes):
-        held = docs.sparkSession.sparkContext.broadcast(index_of(docs, rows))
+        held = docs.sparkSession.sparkContext.broadcast(Index.of(rows))
 
         def keep(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = held.value

@@ -80,3 +80,22 @@ def test_odd_rows(spark):
     assert decontam.contaminated(df, items.limit(0)).collect() == []
     assert decontam.contaminated(df.limit(0), items).collect() == []
     assert decontam.clean(df, items.limit(0)).count() == 6
+
+
+def test_edited_copies_are_met_alone_and_beside_exact_ones(spark):
+    rnd = random.Random(8)
+    words = [f"wo{i}" for i in range(3000)]
+    items = [(i, " ".join(rnd.choices(words, k=n))) for i, n in enumerate((20, 21, 40, 60, 120, 200) * 2)]
+    edited = []
+    for i, text in items:
+        step = 4 + i % 2
+        own = [w if k % step != step - 1 else "changed" for k, w in enumerate(text.split())]
+        edited.append((i, " ".join([*rnd.choices(words, k=30), *own, *rnd.choices(words, k=30)])))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    for copies in (0, 12):
+        docs = edited + [(100 + k, text) for k, (_, text) in enumerate(items * copies)]
+        want = brute(docs, items)
+        assert want >= {(d, d) for d, _ in edited}
+        df = spark.createDataFrame(docs, "doc_id bigint, text string")
+        assert {(r.doc_id, r.item_id) for r in decontam.contaminated(df, bench).collect()} == want
+        assert {r.doc_id for r in decontam.clean(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
