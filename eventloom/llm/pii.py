@@ -182,6 +182,34 @@ class Found:
     pseudonym: str
 
 
+#: Layouts of card numbers that are tried before longer runs, in digits a group.
+LAYOUTS = ((4, 4, 4, 4), (4, 6, 5))
+
+
+def _ends(kind: str, run: str) -> list[int]:
+    """Where a value that starts a run of groups may end: at usual card layouts or after a sole block first, then the longest first."""
+    borders = [i for i, c in enumerate(run) if c in " -"] + [len(run)]
+    usual = [e for e in borders if kind == "card" and ("-" not in run[:e] and " " not in run[:e] or tuple(map(len, re.split(r"[ \-]", run[:e]))) in LAYOUTS)]
+    return usual + [e for e in reversed(borders) if e not in usual]
+
+
+def _find_in_runs(text: str, kind: str, pattern: re.Pattern, replace: Callable, key: bytes, back: bool, out: list[Found]) -> None:
+    """Adds cards or IBANs: a run may go on over words and numbers beside the value, so its groups are tried from each start to each end."""
+    at = 0
+    while m := pattern.search(text, at):
+        a, b = m.span()
+        at = next((i + 1 for i in range(a, b) if text[i] in " -"), b)
+        for e in _ends(kind, m[0]):
+            part = pattern.fullmatch(text, a, a + e)
+            if part is None or any(f.start < a + e and a < f.end for f in out):
+                continue
+            new = replace(part, key, back)
+            if new is not None:
+                out.append(Found(a, a + e, kind, new))
+                at = a + e
+                break
+
+
 def find(text: str | None, key: bytes = KEY, back: bool = False) -> list[Found]:
     """Valid values in text order, in code points, with their pseudonyms."""
     if not text or not any(c in text for c in "0123456789@"):
@@ -190,6 +218,9 @@ def find(text: str | None, key: bytes = KEY, back: bool = False) -> list[Found]:
     for kind, pattern, replace in FINDERS:
         if kind == "email" and "@" not in text:
             continue
+        if kind in ("card", "iban"):
+            _find_in_runs(text, kind, pattern, replace, key, back, out)
+            continue
         for m in pattern.finditer(text):
             a, b = m.span()
             if any(f.start < b and a < f.end for f in out):

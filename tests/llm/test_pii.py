@@ -69,3 +69,23 @@ def test_accented_addresses():
     assert [t[f.start : f.end] for f in found] == ["Déjà.vü7@mail7.example.com", "DÉJÀ.VÜ7@MAIL7.example.com"]
     assert found[0].pseudonym == found[1].pseudonym != "déjà.vü7@mail7.example.com"
     assert pii.replaced(found[0].pseudonym, pii.find(found[0].pseudonym, back=True)) == "déjà.vü7@mail7.example.com"
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("card 4111 1111 1111 1111 12/25 x", ["4111 1111 1111 1111"]),
+        ("4111111111111111 123", ["4111111111111111"]),
+        ("12 4111-1111-1111-1111 7 4736962573099581", ["4111-1111-1111-1111", "4736962573099581"]),
+        ("3782 822463 10005 1234", ["3782 822463 10005"]),
+        ("DE89 3704 0044 0532 0130 00 BIC COBADEFF", ["DE89 3704 0044 0532 0130 00"]),
+        ("to DE89370400440532013000 EUR 50", ["DE89370400440532013000"]),
+        ("GB82 WEST 1234 5698 7654 32 DE89 3704 0044 0532 0130 00", ["GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00"]),
+    ],
+)
+def test_values_beside_other_groups(text, want):
+    found = pii.find(text)
+    assert [text[f.start : f.end] for f in found if f.kind in ("card", "iban")] == want
+    new = pii.replaced(text, found)
+    assert not any(w in new for w in want)
+    assert pii.replaced(new, pii.find(new, back=True)) == text
