@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder that the cluster names in spark.checkpoint.dir; only where it is unset (tests) one is made."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    """Uses the folder that the cluster names in spark.checkpoint.dir; only where it is unset and all runs on one machine (tests) one is made."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors and driver share no other folder")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
