@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,12 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder that the cluster names in spark.checkpoint.dir; only where it is unset (tests) one is made."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+from eventloom.operators.order import ensure_checkpoint_dir
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -26,6 +20,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(*dfs: DataFrame | None) -> None:
+    """Deletes what cut wrote for these tables, once nothing that is still to run reads them: disk follows what is in use."""
+    for df in dfs:
+        if df is not None:
+            path = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+            if path.isDefined():
+                delete(df.sparkSession, path.get())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: A table of short rows (names, places) is broadcast up to this many rows, joined by a shuffle beyond.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """df, to be broadcast if it is measured to have no more than `most` rows (BROADCAST_ROWS)."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if most is None else most) else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import cut
+from eventloom.llm.common import cut, release
 
 
 def _pointed(pairs: DataFrame) -> DataFrame:
@@ -27,7 +27,8 @@ def components(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_pointed(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         small = large.join(_pointed(large), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(_pointed(large).select("u", F.col("m").alias("v"))).distinct())
+        before, edges = edges, cut(small.unionByName(_pointed(large).select("u", F.col("m").alias("v"))).distinct())
+        release(before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import cut, fields
+from eventloom.llm import common
+from eventloom.llm.common import cut, fields, release, small
 from eventloom.llm.graph import components
 
-#: Edits within which two lines count as one, and the least code points of a line that is compared at all.
-MAX_EDITS, MIN_CHARS = 1, 20
-#: A table of 16-byte line names is broadcast up to this many rows (32 MB), joined by a shuffle beyond.
-BROADCAST_ROWS = 1_000_000
+#: Edits within which two lines count as one, and the least code points of a line for which edits are forgiven at all.
+MAX_EDITS, NEAR_CHARS = 1, 20
 
 
 def segments(n: str, edits: int) -> list[tuple[str, str]]:
@@ -65,90 +64,132 @@ def within_edits(a: str, b: str, edits: int) -> Column:
     return F.expr(f"abs{apart} <= {edits} and (shiftrightunsigned({reached}, {apart} + {edits}) & 1L) = 1")
 
 
-def split_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, line_no, line, n, key) of the lines that are compared; key is the line's MD5."""
-    lines = fields(docs, "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("n", F.char_length("line")).where(F.col("n") >= min_chars)
+def split_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, version, line_no, line, n, key) of the lines that are compared, all but empty ones; key is the line's MD5, version a hash of its text."""
+    lines = fields(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = lines.withColumn("n", F.char_length("line")).where(F.col("n") > 0)
     return lines.withColumn("key", F.unhex(F.md5(F.col("line").cast("binary"))))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if its measured size allows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def distinct_lines(lines: DataFrame, max_edits: int = MAX_EDITS, near_chars: int = NEAR_CHARS) -> DataFrame:
+    """(key, lines, n, e1.., p1..): each line's number of places, and the marks of those of near_chars or more.
+
+    The marks of equal lines are equal, so their maximum names them; only fixed-size values are combined, in each task first."""
+    entries, probes = marks("line", "n", max_edits)
+    own = {f"e{i}": x for i, x in enumerate(entries)} | {f"p{i}": x for i, x in enumerate(probes)}
+    marked = lines.select("key", "n", *(F.expr(f"if(n >= {near_chars}, {x}, null)").alias(c) for c, x in own.items()))
+    return marked.groupBy("key").agg(F.count(F.lit(1)).alias("lines"), F.max("n").alias("n"), *(F.max(c).alias(c) for c in own))
 
 
 def links(lines: DataFrame, distinct: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     """(a, b): keys of different lines within max_edits.
 
-    Candidates are lines of which one's probe meets the other's index entry. Entries are per length; a bucket with more lines
-    than they have code points (boilerplate that differs in one place) would cost more in pairs than in deletions: for
-    max_edits 1 each of its lines is then taken to pieces instead. Lines that are equal without the code point at one place
-    are all one replacement apart, so they link to the least of them; a line that equals another without a code point
-    links to it. So no bucket is paired off. Larger max_edits verify such buckets in the join, split by its skew handling.
+    Candidates are lines of which one's probe meets the other's index entry. Marks are first counted, in one shuffle of marks
+    alone; most are met by one line only, and lines go on just with the marks that several meet. Entries are per length; a
+    bucket with more lines than they have code points (boilerplate that differs in one place) would cost more in pairs than
+    in deletions: for max_edits 1 each of its lines is then taken to pieces instead. Lines that are equal without the code
+    point at one place are all one replacement apart, so they link to the least of them; a line that equals another without a
+    code point links to it. So no bucket is paired off. Larger max_edits verify such buckets in the join, split by its skew
+    handling.
     """
-    index = distinct.select("key", "n", F.explode("entries").alias("mark"))
-    probe = distinct.select("key", "n", F.explode("probes").alias("mark"))
-    found = None
+    kinds = [c for c in distinct.columns if c[0] in "ep"]
+    role = lambda c: F.struct(F.col(c).alias("mark"), F.lit(c[0] == "e").alias("entry"))
+    marked = distinct.where(F.col("e0").isNotNull()).select("key", "n", F.explode(F.array(*map(role, kinds))).alias("m")).select("m.mark", "m.entry", "key", "n")
+    count = marked.groupBy("mark").agg(F.count(F.lit(1)).alias("met"), F.sum(F.col("entry").cast("int")).alias("entries"), F.max(F.when(F.col("entry"), F.col("n"))).alias("long"))
+    met = cut(count.where("met > 1 and entries > 0").select("mark", F.expr(f"{max_edits} = 1 and entries > long").alias("full")))
+    several = cut(marked.join(small(met), "mark"))
+    found = crowded = None
     if max_edits == 1:
-        full = cut(index.groupBy("mark", "n").agg(F.count(F.lit(1)).alias("lines")).where("lines > n").select("mark"))
-        if not full.isEmpty():
-            crowded = index.unionByName(probe).join(full, "mark", "left_semi").select("key").distinct()
-            index, probe = (x.join(full, "mark", "left_anti") for x in (index, probe))
-            found = _by_deletion(lines, cut(crowded))
-    entry = index.select("mark", F.col("key").alias("b"), F.col("n").alias("nb"))
-    named = lambda x: x.select("mark", F.col("key").alias("a"), F.col("n").alias("na"))
-    pairs = named(index).join(entry, "mark").where("a < b and na = nb").unionByName(named(probe).join(entry, "mark").where(f"a != b and na - nb between 0 and {max_edits}")).select("a", "b")
+        crowded = cut(several.where("full").select("key").distinct())
+        if not crowded.isEmpty():
+            found = _by_deletion(lines, crowded)
+    live = several.where("not full")
+    entry = live.where("entry").select("mark", F.col("key").alias("b"), F.col("n").alias("nb"))
+    pairs = live.withColumnsRenamed({"key": "a", "n": "na"}).join(entry, "mark").where(f"if(entry, a < b and na = nb, a != b and na - nb between 0 and {max_edits})").select("a", "b")
     found = cut((pairs if found is None else pairs.unionByName(found)).distinct())
     asked = cut(found.select(F.col("a").alias("key")).unionByName(found.select(F.col("b").alias("key"))).distinct())
-    texts = cut(lines.select("key", "line").join(_small(asked), "key", "left_semi").dropDuplicates(["key"]))
+    texts = cut(lines.select("key", "line").join(small(asked), "key", "left_semi").dropDuplicates(["key"]))
     both = found.join(texts.withColumnsRenamed({"key": "a", "line": "line_a"}), "a").join(texts.withColumnsRenamed({"key": "b", "line": "line_b"}), "b")
-    return cut(both.where(within_edits("line_a", "line_b", max_edits)).select("a", "b"))
+    out = cut(both.where(within_edits("line_a", "line_b", max_edits)).select("a", "b"))
+    release(met, several, found, asked, texts, crowded)
+    return out
 
 
 def _by_deletion(lines: DataFrame, crowded: DataFrame) -> DataFrame:
     """(a, b): enough candidate links among crowded lines to connect all that one edit connects."""
-    own = lines.select("key", "line", "n").join(_small(crowded), "key", "left_semi").dropDuplicates(["key"])
+    own = lines.select("key", "line", "n").join(small(crowded), "key", "left_semi").dropDuplicates(["key"])
     less = own.select("key", F.posexplode(F.expr("transform(sequence(1, n), i -> unhex(md5(concat(left(line, i - 1), substring(line, i + 1)))))")).alias("at", "rest"))
     less = cut(less)
     least = less.groupBy("at", "rest").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("lines")).where("lines > 1").select("at", "rest", "b")
     replaced = less.join(least, ["at", "rest"]).where("key != b").select(F.col("key").alias("a"), "b")
     shorter = less.select("key", "rest").distinct().join(crowded.select(F.col("key").alias("rest")), "rest").select(F.col("key").alias("a"), F.col("rest").alias("b"))
-    return replaced.unionByName(shorter)
+    out = cut(replaced.unionByName(shorter).distinct())
+    release(less)
+    return out
 
 
-def classes(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(key, lines, first, links): each line that repeats, exactly or nearly, with how often it occurs, where its class occurs first and how many other lines it links to."""
-    lines = split_lines(docs, min_chars)
-    entries, probes = marks("line", "n", max_edits)
-    marked = lines.select("key", "n", F.struct("doc_id", "line_no").alias("at"), F.expr(f"array({', '.join(entries)})").alias("entries"), F.expr(f"array({', '.join(probes)})").alias("probes"))
-    distinct = cut(marked.groupBy("key", "n", "entries", "probes").agg(F.min("at").alias("own"), F.count(F.lit(1)).alias("lines")))
+def places(docs: DataFrame, max_edits: int = MAX_EDITS, near_chars: int = NEAR_CHARS) -> DataFrame:
+    """(doc_id, version, line_no, key, root, links): every place of a line that repeats, exactly or nearly, with its class and
+    how many other lines it links to."""
+    lines = split_lines(docs)
+    distinct = cut(distinct_lines(lines, max_edits, near_chars))
     linked = links(lines, distinct, max_edits)
     degree = linked.select(F.col("a").alias("key")).unionByName(linked.select(F.col("b").alias("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("links"))
     near = degree.join(components(linked, "a", "b").select(F.col("node").alias("key"), "root"), "key")
-    placed = distinct.select("key", "own", "lines").join(near, "key", "left").where("lines > 1 or root is not null")
-    placed = cut(placed.withColumn("root", F.coalesce("root", "key")).withColumn("links", F.coalesce("links", F.lit(0))))
-    heads = placed.groupBy("root").agg(F.min("own").alias("first"))
-    return placed.join(heads, "root").select("key", "lines", "first", "links")
+    repeated = distinct.select("key", "lines").join(near, "key", "left").where("lines > 1 or root is not null")
+    repeated = cut(repeated.select("key", F.coalesce("root", "key").alias("root"), F.coalesce("links", F.lit(0)).alias("links")))
+    release(distinct, linked)
+    out = cut(lines.select("doc_id", "version", "line_no", "key").join(small(repeated), "key"))
+    release(repeated)
+    return out
+
+
+def _judged(docs: DataFrame, own: list[str], max_edits: int, near_chars: int) -> DataFrame:
+    """(row, text, gone): the columns `own` of docs as one struct, whose fields no name can clash with, and the later lines of each."""
+    found = places(docs, max_edits, near_chars)
+    at = F.struct("doc_id", "version", "line_no")
+    heads = cut(found.groupBy("root").agg(F.min(at).alias("first")))
+    later = found.join(small(heads), "root").where(~at.eqNullSafe(F.col("first")))
+    gone = cut(later.groupBy("doc_id", "version").agg(F.collect_set(F.struct("line_no", "links")).alias("gone")))
+    size = gone.agg(F.count(F.lit(1)), F.sum(F.size("gone"))).first()
+    release(found, heads)
+    gone = gone.withColumnsRenamed({"doc_id": "gone_id", "version": "gone_version"})
+    if size[0] + (size[1] or 0) <= common.BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    rows = docs.select(F.struct(*(docs[c] for c in own)).alias("row"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
+    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_version")), "left")
+    return joined.select("row", "text", "gone")
+
+
+_DROPPED = "exists(gone, g -> g.line_no = i)"
+_KEPT = f"if(gone is null, text, array_join(filter(split(text, '\\n'), (x, i) -> not {_DROPPED}), '\\n'))"
 
 
-def dedup(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup(docs: DataFrame, max_edits: int = MAX_EDITS, near_chars: int = NEAR_CHARS) -> DataFrame:
     """docs with every line removed that occurs before, exactly or within max_edits; text_lines, removed_lines and near_lines are added.
 
-    Lines are split at \\n in whole texts; those of fewer than min_chars code points always stay. Lines linked by edits, over
-    chains too, form a class, and each class keeps its first line, by doc_id, then place. A null text stays null (no lines).
-    Rows that repeat a doc_id count as one document: what is first in one is first in the other. Null ids come first and
-    count as one id likewise. An empty table gives no rows; added columns replace ones of their names.
+    Lines are split at \\n in whole texts. Empty lines always stay; lines of fewer than near_chars code points repeat exactly or
+    not at all, longer ones of any length within max_edits too. Lines linked by edits, over chains too, form a class, and each
+    class keeps its first line, by doc_id (null ids first), then a hash of the text, then place. A null text stays null (no
+    lines). Rows with equal doc_id and text count as one document: what is first in one is first in the other. An empty table
+    gives no rows; added columns replace ones of their names, and no other name can clash.
     """
     own = [c for c in docs.columns if c not in ("text_lines", "removed_lines", "near_lines")]
-    repeated = classes(docs, max_edits, min_chars)
-    lines = split_lines(docs, min_chars).select("doc_id", "line_no", "key")
-    later = lines.join(repeated, "key").where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("first")))
-    gone = later.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("line_no", "key", "links")).alias("_gone"))
-    named = docs.select(*(docs[c] for c in own)).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    drop = "exists(_gone, g -> g.line_no = i and g.key = unhex(md5(cast(x as binary))))"
-    kept = F.expr(f"if(_gone is null, text, array_join(filter(split(text, '\\n'), (x, i) -> not {drop}), '\\n'))")
-    count = lambda t: F.coalesce(F.when(t.isNull(), 0).otherwise(F.size(F.split(t, "\n"))), F.lit(0)).cast("bigint")
-    out = named.withColumn("_kept", kept).withColumn("text_lines", count(F.col("text")))
-    out = out.withColumn("removed_lines", F.when(F.col("_gone").isNull(), F.lit(0).cast("bigint")).otherwise(F.expr(f"size(filter(split(text, '\\n'), (x, i) -> {drop}))").cast("bigint")))
-    out = out.withColumn("near_lines", F.coalesce(F.expr("size(filter(_gone, g -> g.links > 0))"), F.lit(0)).cast("bigint"))
-    return out.select(*(F.col("_kept").alias(c) if c == "text" else F.col(c) for c in own), "text_lines", "removed_lines", "near_lines")
+    out = _judged(docs, own, max_edits, near_chars)
+    counts = {
+        "text_lines": "if(text is null, 0, size(split(text, '\\n')))",
+        "removed_lines": "coalesce(if(gone is null, 0, size(gone)), 0)",
+        "near_lines": "coalesce(size(filter(gone, g -> g.links > 0)), 0)",
+    }
+    counted = [F.expr(f"cast({x} as bigint)").alias(c) for c, x in counts.items()]
+    return out.select(*(F.expr(_KEPT).alias(c) if c == "text" else F.col("row")[c].alias(c) for c in own), *counted)
+
+
+def without_repeats(docs: DataFrame, max_edits: int = MAX_EDITS, near_chars: int = NEAR_CHARS) -> DataFrame:
+    """docs as dedup leaves them, in their own columns whatever these are called: n_chars, where there is one, follows the text, and a
+    document that loses every line goes. Nulls, repeats and empty tables are as in dedup."""
+    out = _judged(docs, docs.columns, max_edits, near_chars).where("gone is null or size(gone) < size(split(text, '\\n'))")
+    cols = {c: F.col("row")[c] for c in docs.columns} | {"text": F.expr(_KEPT)}
+    if "n_chars" in cols:
+        cols["n_chars"] = F.when(F.col("gone").isNotNull(), F.char_length(F.expr(_KEPT))).otherwise(F.col("row")["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(x.alias(c) for c, x in cols.items()))

@@ -60,12 +60,13 @@ with recursive line as (
   select doc_id, i - 1 as line_no, string_split(text, chr(10))[i] as line
   from (select doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents where text is not null)
 ), own as (
-  select line, length(line) as n, min(row(doc_id, line_no)) as at, count(*) as lines from line where length(line) >= {lines.MIN_CHARS} group by 1, 2
+  select line, length(line) as n, min(row(doc_id, line_no)) as at, count(*) as lines from line where length(line) > 0 group by 1, 2
+), long as (select * from own where n >= {lines.NEAR_CHARS}
 ), half as (
-  select line, n, 1 as s, left(line, n // 2) as part, line[n // 2 + 1:] as rest from own
-  union all select line, n, 2, line[n // 2 + 1:], left(line, n // 2) from own
-  union all select line, n - 1, 3, left(line, (n - 1) // 2), line[(n - 1) // 2 + 1:] from own
-  union all select line, n - 1, 4, line[n - ((n - 1) - (n - 1) // 2) + 1:], line[:n - ((n - 1) - (n - 1) // 2)] from own
+  select line, n, 1 as s, left(line, n // 2) as part, line[n // 2 + 1:] as rest from long
+  union all select line, n, 2, line[n // 2 + 1:], left(line, n // 2) from long
+  union all select line, n - 1, 3, left(line, (n - 1) // 2), line[(n - 1) // 2 + 1:] from long
+  union all select line, n - 1, 4, line[n - ((n - 1) - (n - 1) // 2) + 1:], line[:n - ((n - 1) - (n - 1) // 2)] from long
 ), link as (
   select a.line as a, b.line as b from half a join half b on a.n = b.n and a.part = b.part and a.s = b.s and a.s < 3 and a.line <> b.line
   where len(list_filter(range(1, length(a.rest) + 1), lambda i: a.rest[i] <> b.rest[i])) = 1

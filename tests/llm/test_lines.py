@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from eventloom.llm import lines
+from eventloom.llm import common, lines
 
 ODD = "abcé𝄞"
 
@@ -34,7 +34,7 @@ def edited(line, rnd):
 
 def brute(docs, edits, least):
     """Texts after removing lines that are not the first of their class, over (id, text) with distinct ids."""
-    own = [(d, k, x) for d, t in docs if t is not None for k, x in enumerate(t.split("\n")) if len(x) >= least]
+    own = [(d, k, x) for d, t in docs if t is not None for k, x in enumerate(t.split("\n")) if x]
     distinct = sorted({x for _, _, x in own})
     root = {x: x for x in distinct}
 
@@ -45,12 +45,12 @@ def brute(docs, edits, least):
 
     for i, a in enumerate(distinct):
         for b in distinct[:i]:
-            if abs(len(a) - len(b)) <= edits and distance(a, b) <= edits:
+            if min(len(a), len(b)) >= least and abs(len(a) - len(b)) <= edits and distance(a, b) <= edits:
                 root[find(a)] = find(b)
     first = {}
     for d, k, x in own:
         first[find(x)] = min(first.get(find(x), (d, k)), (d, k))
-    return {d: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if len(x) < least or first[find(x)] == (d, k)) for d, t in docs}
+    return {d: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if not x or first[find(x)] == (d, k)) for d, t in docs}
 
 
 def some_lines(rnd, n=30):
@@ -71,9 +71,9 @@ def test_dedup_equals_brute_force(spark, edits):
     rnd = random.Random(9)
     base = some_lines(rnd)
     docs = [(i, None if i % 13 == 5 else "\n".join(["", "short"] * (i % 3) + [edited(rnd.choice(base), rnd) for _ in range(5)])) for i in range(80)] + [(900, ""), (901, "\n\n")]
-    df = spark.createDataFrame([(*d, "x", 7) for d in docs], "doc_id bigint, text string, line string, removed_lines int")
+    df = spark.createDataFrame([(*d, "x", 7, "y", "z") for d in docs], "doc_id bigint, text string, line string, removed_lines int, gone string, row string")
     out = lines.dedup(df, edits, 20)
-    assert out.columns == ["doc_id", "text", "line", "text_lines", "removed_lines", "near_lines"]
+    assert out.columns == ["doc_id", "text", "line", "gone", "row", "text_lines", "removed_lines", "near_lines"]
     got = {r.doc_id: r for r in out.collect()}
     want = brute(docs, edits, 20)
     assert {d: r.text for d, r in got.items()} == want
@@ -98,5 +98,29 @@ def test_repeated_rows_null_ids_and_long_lines(spark):
     assert got == sorted([(4, "own line number four here"), (4, "own line number four here"), (None, "the very same line of text"), (5, long), (6, "")], key=str)
 
 
+def test_texts_under_one_id_are_told_apart(spark):
+    docs = [(4, "a line that only this text has\nboth"), (4, "both\nanother line, in the other text"), (None, "both"), (None, "none but this")]
+    got = sorted(r.text for r in lines.dedup(spark.createDataFrame(docs, "doc_id bigint, text string")).collect())
+    assert got == sorted(["a line that only this text has", "another line, in the other text", "both", "none but this"])
+
+
+def test_without_repeats_keeps_the_columns(spark):
+    docs = [(1, "one line\ntwo lines", 7, "a", 1.5), (2, "two lines", 7, "b", 2.5), (3, "three\none line", 7, "c", 3.5), (4, None, 0, "d", None), (5, "", 9, "e", None)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, n_chars int, text_lines string, removed_lines double")
+    out = lines.without_repeats(df)
+    assert out.schema.simpleString() == df.schema.simpleString()
+    assert sorted(map(tuple, out.collect())) == [docs[0], (3, "three", 5, "c", 3.5), docs[3], docs[4]]
+    assert lines.without_repeats(df.limit(0)).collect() == []
+
+
+def test_tables_beyond_the_broadcast_bound(spark, monkeypatch):
+    rnd = random.Random(4)
+    base = some_lines(rnd)
+    docs = [(i, "\n".join(edited(rnd.choice(base), rnd) for _ in range(5))) for i in range(40)]
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    got = {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == brute(docs, 1, 20)
+
+
 def test_empty_table(spark):
     assert lines.dedup(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
