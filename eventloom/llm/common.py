@@ -20,6 +20,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def steady(df: DataFrame) -> DataFrame:
+    """df if its rows come in the same order whenever a partition is computed again, as those of files do; cut if it is shuffled."""
+    return cut(df) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
 def release(*dfs: DataFrame | None) -> None:
     """Deletes what cut wrote for these tables, once nothing that is still to run reads them: disk follows what is in use."""
     for df in dfs:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest as hashed
 
-from eventloom.llm.common import cut, fields, in_split, map_arrow, sql_type
+from eventloom.llm.common import cut, fields, in_split, map_arrow, release, sql_type, steady
 
 FOLDS, HELD_OUT = 7, 2
 #: The token after a text's last word; no word is empty.
@@ -22,6 +23,8 @@ BASE = 2.0
 BITS, PROBES = 8, 4
 #: The largest filter that is broadcast; more n-grams are scored in blocks of such filters, one pass over the texts for each.
 FILTER_BYTES = 256 << 20
+#: Counts that meet in one range of hashes, in bytes: the number of ranges follows the measured number of tokens.
+SEGMENT_BYTES = 32 << 20
 #: So many of the most frequent words have their exact counts broadcast; the rest are joined.
 FREQUENT = 1 << 17
 #: Share of the bigram estimate in the interpolated probability.
@@ -100,26 +103,27 @@ def segment(hashes: np.ndarray, counts: np.ndarray, bits: float = BITS) -> np.nd
 
 @dataclass
 class Filter:
-    """Segments of a log-frequency Bloom filter. own: whether this block answers for a range; elsewhere, and where no n-gram is, size is 0."""
+    """Segments of a log-frequency Bloom filter. own: whether this block answers for a range; elsewhere, and where no n-gram is,
+    size is 0. top: the highest level that was entered, where probing ends."""
 
     bits: np.ndarray
     offsets: np.ndarray
     sizes: np.ndarray
     own: np.ndarray
+    top: int
 
     @staticmethod
-    def of(parts: dict[int, bytes], segments: int) -> Filter:
+    def of(parts: dict[int, bytes], segments: int, top: int) -> Filter:
         sizes = np.array([8 * len(parts.get(r, b"")) for r in range(segments)], np.int64)
         offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if segments else sizes
-        return Filter(np.frombuffer(b"".join(parts.get(r, b"") for r in range(segments)), np.uint8), offsets.astype(np.uint64), sizes.astype(np.uint64), np.array([r in parts for r in range(segments)], bool))
+        return Filter(np.frombuffer(b"".join(parts.get(r, b"") for r in range(segments)), np.uint8), offsets.astype(np.uint64), sizes.astype(np.uint64), np.array([r in parts for r in range(segments)], bool), top)
 
     def level(self, hashes: np.ndarray) -> np.ndarray:
         """The highest level that repeated probes find, 0 for none; n-grams of absent segments too."""
         out = np.zeros(len(hashes), np.int64)
         r = ranges(hashes, len(self.sizes))
         live = np.flatnonzero(self.sizes[r] > 0)
-        q = 1
-        while len(live):
+        for q in range(1, self.top + 1):
             size, start = self.sizes[r[live]], self.offsets[r[live]]
             keep = np.arange(len(live))
             for place in _places(hashes[live], q, size):
@@ -129,7 +133,8 @@ class Filter:
                     break
             live = live[keep]
             out[live] = q
-            q += 1
+            if not len(live):
+                break
         return out
 
 
@@ -178,8 +183,8 @@ def word_blobs(counts: DataFrame, segments: int) -> DataFrame:
     return map_arrow(counts, count, _BLOBS)
 
 
-def segments_of(blobs: DataFrame, bits: float = BITS) -> DataFrame:
-    """(r, entries, bits): the finished segment of each range, built where the range's counts meet."""
+def segments_of(blobs: DataFrame, segments: int, bits: float = BITS) -> DataFrame:
+    """(r, top, bits): the finished segment of each range and its highest level, built where the range's counts meet, a partition for each range."""
 
     def build(rows):
         import pandas as pd
@@ -188,9 +193,14 @@ def segments_of(blobs: DataFrame, bits: float = BITS) -> DataFrame:
         counts = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["counts"]])
         own, where = np.unique(hashes, return_inverse=True)
         total = np.bincount(where, counts).astype(np.int64)
-        return pd.DataFrame({"r": [rows["r"].iloc[0]], "entries": [len(own)], "bits": [segment(own, total, bits).tobytes()]})
+        return pd.DataFrame({"r": [rows["r"].iloc[0]], "top": [int(levels(total).max())], "bits": [segment(own, total, bits).tobytes()]})
 
-    return cut(blobs.groupBy("r").applyInPandas(build, "r int, entries bigint, bits binary"))
+    return cut(blobs.repartition(segments, "r").groupBy("r").applyInPandas(build, "r int, top int, bits binary"))
+
+
+def ranges_for(tokens: int) -> int:
+    """How many ranges keep the counts of so many tokens (12 bytes each at most) to SEGMENT_BYTES a range."""
+    return max(8, -(-12 * tokens // SEGMENT_BYTES))
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -216,7 +226,7 @@ def word_counts(train: DataFrame) -> DataFrame:
 class Scorer:
     """Scores token batches against the broadcast filters and the frequent words' counts."""
 
-    def __init__(self, words: Filter, pairs: Filter, frequent: dict[bytes, int], total: int, distinct: int) -> None:
+    def __init__(self, words: Filter | None, pairs: Filter, frequent: dict[bytes, int], total: int, distinct: int) -> None:
         self.words, self.pairs, self.frequent = words, pairs, frequent
         self.least = total + distinct + 1
         self._clear()
@@ -225,7 +235,8 @@ class Scorer:
         self.at = _Numbers()
         self.hashes, self.estimate, self.exact = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64)
 
-    def ids(self, docs: list[list[bytes]]) -> list[np.ndarray]:
+    def ids(self, docs: list[list[bytes]], found: list[bytes] | None = None) -> list[np.ndarray]:
+        """The texts' words by number. found: their levels, a byte a token, where the word filter was too large to be held here."""
         if len(self.at) > _CACHED:
             self._clear()
         out = [np.fromiter(map(self.at.__getitem__, ws), np.int64, len(ws)) for ws in docs]
@@ -233,9 +244,11 @@ class Scorer:
         if fresh:
             h = np.array([hashed(w, _SEED) for w in fresh], np.uint64)
             self.hashes = np.concatenate([self.hashes, h])
-            self.estimate = np.concatenate([self.estimate, expected(self.words.level(h))])
+            self.estimate = np.concatenate([self.estimate, expected(self.words.level(h)) if found is None else np.zeros(len(h))])
             get = self.frequent.get
             self.exact = np.concatenate([self.exact, np.array([get(w, 0) for w in fresh], np.int64)])
+        if found is not None:
+            self.estimate[np.concatenate(out)] = expected(np.frombuffer(b"".join(found), np.uint8).astype(np.int64))
         return out
 
     def log_probs(self, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -263,8 +276,10 @@ def _partial(docs: DataFrame, scorer, first: bool) -> DataFrame:
             if b.num_rows:
                 yield block(own, [tokens_of(t) for t in b.column("text").to_pylist()], b)
 
+    given = "levels" in docs.columns
+
     def block(own: Scorer, docs: list[list[bytes]], b: pa.RecordBatch) -> pa.RecordBatch:
-        per = own.ids(docs)
+        per = own.ids(docs, b.column("levels").to_pylist() if given else None)
         ids, before = np.concatenate(per), np.concatenate([np.roll(x, 1) for x in per])
         lengths = np.array([len(x) for x in per])
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
@@ -299,45 +314,78 @@ def blocks_of(segments: DataFrame, count: int, most: int) -> Iterator[Filter]:
     """Filters of at most `most` bytes each (a larger segment is one of its own), fetched one partition of segments at a time.
 
     Every range is in one block: the first also has those without any n-gram."""
-    present = {r.r for r in segments.select("r").collect()}
+    held_by = segments.select("r", "top").collect()
+    present, top = {r.r for r in held_by}, max((r.top for r in held_by), default=0)
     absent, held, room = {r: b"" for r in range(count) if r not in present}, {}, most
     for row in segments.select("r", "bits").toLocalIterator():
         if held and len(row.bits) > room:
-            yield Filter.of(absent | held, count)
+            yield Filter.of(absent | held, count, top)
             absent, held, room = {}, {}, most
         held[row.r] = bytes(row.bits)
         room -= len(row.bits)
-    yield Filter.of(absent | held, count)
+    yield Filter.of(absent | held, count, top)
+
+
+def _levelled(docs: DataFrame, block: Filter) -> DataFrame:
+    """docs with `levels`, a byte for each token: what the block finds of the words of its ranges, beside what earlier blocks found."""
+    held, first = docs.sparkSession.sparkContext.broadcast(block), "levels" not in docs.columns
+    own = [c for c in docs.columns if c != "levels"]
 
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, hashes = held.value, _Hashes()
+        for b in batches:
+            if len(hashes) > _CACHED:
+                hashes.clear()
+            out = []
+            for text, before in zip(b.column("text").to_pylist(), [None] * b.num_rows if first else b.column("levels").to_pylist(), strict=True):
+                words = tokens_of(text)
+                found = block.level(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))).astype(np.uint8)
+                out.append((found if before is None else found | np.frombuffer(before, np.uint8)).tobytes())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(out, pa.binary())], [*own, "levels"])
+
+    return map_arrow(docs, look, ", ".join(f"{c} {sql_type(docs, c)}" for c in own) + ", levels binary")
 
-def score(docs: DataFrame, segments: int | None = None, filter_bytes: int = FILTER_BYTES, frequent: int = FREQUENT) -> DataFrame:
+
+def score(docs: DataFrame, segments: int | None = None, filter_bytes: int = FILTER_BYTES, frequent: int = FREQUENT, bits: float = BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
     base_score is exact: the `frequent` most frequent training words are broadcast with their counts, each text's other words
     are joined with the count table. score is the model's: p(w | v) mixes c(v w) / c(v) with the add-one unigram estimate, all
-    counts from the filter, where level q of an n-gram is found by probing for levels 1, 2, ... until one is missing. The
-    filter has no false negatives; a level is overstated with a chance of 2 to 3 % (8 bits, 4 probes an entry).
-
-    Bigram counts meet range by range of their hashes, a finished segment for each; a filter of more than `filter_bytes` is
-    broadcast in blocks of segments, with a pass over the texts for each block, whose partial sums add up. The word filter is
-    held to `filter_bytes` by fewer bits an entry beyond as many words. Null texts are empty (the end alone); a null id
-    counts as empty text for the fold; repeated rows are rows like others; an empty table gives no rows.
+    counts from the filter, where level q of an n-gram is found by probing for levels 1, 2, ... until one is missing or the
+    highest was met. The filter has no false negatives; a level is overstated with a chance of 2 to 3 % (8 bits, 4 probes an
+    entry), whatever the size of the corpus.
+
+    Counts meet range by range of their hashes (`segments` ranges; by default as many as their measured number needs), a
+    finished segment for each; a bigram filter of more than `filter_bytes` is broadcast in blocks of segments, with a pass
+    over the texts for each block, whose partial sums add up. A word filter of more is looked up in blocks first: each adds
+    the levels of its words to the texts, which are kept in the checkpoint folder in between. Null texts are empty (the end
+    alone); a null id counts as empty text for the fold; repeated rows are rows like others, since each row has a number of
+    its own (input that is itself shuffled is cut first, so that the numbers hold when an executor is lost); columns other
+    than doc_id and text have no effect; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    segments = segments or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = fields(docs, "doc_id", "text").withColumn("held_out", in_split(F.col("doc_id"), FOLDS, HELD_OUT)).withColumn("rid", F.monotonically_increasing_id())
+    base = steady(fields(docs, "doc_id", "text")).withColumn("held_out", in_split(F.col("doc_id"), FOLDS, HELD_OUT)).withColumn("rid", F.monotonically_increasing_id())
     train = base.where(~F.col("held_out"))
     counts = cut(word_counts(train))
-    total, distinct, entered = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n"), F.coalesce(F.sum(F.floor(F.log(BASE, F.col("n"))) + 1), F.lit(0))).first()
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
     most = counts.orderBy(F.desc("n"), "word").limit(frequent).toArrow()
     known = dict(zip(most["word"].cast(pa.binary()).to_pylist(), most["n"].to_pylist(), strict=True))
-    word_bits = min(BITS, 8 * filter_bytes / max(entered, 1))
-    words = next(blocks_of(segments_of(word_blobs(counts, segments), word_bits), segments, 2 * filter_bytes))
-    pairs = segments_of(bigram_blobs(train, segments))
+    of_words, of_pairs = segments or ranges_for(distinct), segments or ranges_for(total)
+    held = segments_of(word_blobs(counts, of_words), of_words, bits)
+    blocks = blocks_of(held, of_words, filter_bytes)
+    words, later = next(blocks), next(blocks, None)
+    if later is not None:
+        for block in chain((words, later), blocks):
+            before, base = base, cut(_levelled(base, block))
+            if "levels" in before.columns:
+                release(before)
+        words = None
+    release(held)
+    pairs = segments_of(bigram_blobs(train, of_pairs), of_pairs, bits)
     tables = spark.sparkContext.broadcast((words, known, total, distinct))
     del most, known, words
     parts = None
-    for k, block in enumerate(blocks_of(pairs, segments, filter_bytes)):
+    for k, block in enumerate(blocks_of(pairs, of_pairs, filter_bytes)):
         own = spark.sparkContext.broadcast(block)
 
         def scorer(own=own, tables=tables) -> Scorer:
@@ -346,6 +394,7 @@ def score(docs: DataFrame, segments: int | None = None, filter_bytes: int = FILT
 
         part = _partial(base, scorer, k == 0)
         parts = part if parts is None else parts.unionByName(part)
+    release(pairs)
     found = parts.join(counts, "word", "left")
     tf = F.col("tf")
     out = found.groupBy("rid").agg(
