@@ -22,8 +22,11 @@ UNKNOWN = "und"
 LABELLED_DOCS = 1500
 #: Rounds of expectation-maximisation over that sample, and what each piece's expected count is raised by.
 ROUNDS, SMOOTHING = 2, 0.05
-#: Longer runs of letters are scored in stretches of this length, so that products of probabilities stay in range.
-STRETCH = 24
+#: Sums are scaled every so many letters, so that products of probabilities stay in range, and longer words are scored by
+#: so many letters at a time, what a piece can reach back over being carried.
+SCALED, CHUNK = 16, 4096
+#: Words of more letters take no part in fitting the pieces (they are scored like others).
+LONGEST_FITTED = 1 << 14
 #: Probability of a character that no piece covers, the same for every language.
 STRANGE = 1e-7
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -62,11 +65,6 @@ def words_of(text: str | None) -> list[str]:
     return _LETTERS.findall(text.lower()) if text else []
 
 
-def stretches(word: str) -> list[str]:
-    marked = "▁" + word
-    return [marked[i : i + STRETCH] for i in range(0, len(marked), STRETCH)]
-
-
 def lattice(words: list[str], steps: dict[str, int], longest: int) -> np.ndarray:
     """(word, end - 1, length - 1) -> row of the piece that ends there, -1 without one; all words have one length.
 
@@ -94,40 +92,64 @@ def lattice(words: list[str], steps: dict[str, int], longest: int) -> np.ndarray
     return np.array(out, np.int32).reshape(len(words), n, wide)
 
 
-def forward(rows: np.ndarray, probs: np.ndarray) -> np.ndarray:
-    """(position, word, language): summed probability of all segmentations of each prefix. probs has one more row, of zeros, at its end for absent pieces."""
+def forward(rows: np.ndarray, probs: np.ndarray, before: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, logs), each (position, word, language): sums * exp(logs) is the summed probability of all segmentations of each prefix.
+
+    probs has one more row, of zeros, at its end for absent pieces. before: the last sums and logs of what precedes rows, from
+    which the first positions are taken; without it there is one position, the empty prefix. Sums that a piece can still reach
+    are scaled together."""
     words, n, wide = rows.shape
-    sums = np.zeros((n + 1, words, probs.shape[1]))
-    sums[0] = 1
-    for end in range(1, n + 1):
+    size = (words, probs.shape[1])
+    old, old_logs = before if before is not None else (np.ones((1, *size)), np.zeros((1, *size)))
+    k = len(old)
+    sums, logs = np.concatenate([old, np.zeros((n, *size))]), np.concatenate([old_logs, np.zeros((n, *size))])
+    for i in range(n):
+        end = k + i
+        logs[end] = logs[end - 1]
         for length in range(1, min(wide, end) + 1):
-            at = rows[:, end - 1, length - 1]
+            at = rows[:, i, length - 1]
             if length == 1 or (at >= 0).any():
                 sums[end] += sums[end - length] * probs[at]
-    return sums
+        if (i + 1) % SCALED == 0 or (before is not None and i == n - 1):
+            scale = sums[end].copy()
+            first = max(0, end - wide + 1)
+            sums[first : end + 1] /= scale
+            logs[first : end + 1] += np.log(scale)
+    return sums, logs
 
 
 def _by_length(words: list[str], block: int = 4096) -> Iterator[np.ndarray]:
-    """Positions of words of one length, in blocks."""
+    """Positions of words of one length, in blocks of no more letters than `block` words of usual length have."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(lengths, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
-        for i in range(0, len(part), block):
-            yield part[i : i + block]
+        most = max(1, min(block, 24 * block // max(1, lengths[part[0]]))) if len(part) else block
+        for i in range(0, len(part), most):
+            yield part[i : i + most]
 
 
 def word_scores(words: list[str], model: Model) -> np.ndarray:
-    """(word, language): log of the segmentation-marginalised probability."""
-    parts = [(k, s) for k, w in enumerate(words) for s in stretches(w)]
+    """(word, language): log of the segmentation-marginalised probability of each whole word, whatever its length."""
     out = np.zeros((len(words), len(model.languages)))
-    if not parts:
-        return out
-    owner = np.array([k for k, _ in parts])
-    strings = [s for _, s in parts]
+    marked = ["▁" + w for w in words]
     probs = np.vstack([model.probs, np.zeros(len(model.languages))])
-    for at in _by_length(strings):
-        rows = lattice([strings[i] for i in at], model.steps, model.longest)
-        np.add.at(out, owner[at], np.log(forward(rows, probs)[-1]))
+    for at in _by_length(marked):
+        held, n, state = [marked[i] for i in at], len(marked[at[0]]), None
+        for start in range(0, n, CHUNK):
+            begin = max(0, start - model.longest + 1)
+            rows = lattice([w[begin : start + CHUNK] for w in held], model.steps, model.longest)[:, start - begin :]
+            sums, logs = forward(rows, probs, state)
+            state = sums[-model.longest :], logs[-model.longest :]
+        out[at] = np.log(sums[-1]) + logs[-1]
+    return out
+
+
+def _reversed(rows: np.ndarray) -> np.ndarray:
+    """The lattice of the same pieces read from the words' ends: a piece of some length that ends at e ends at n - e + length there."""
+    words, n, wide = rows.shape
+    out = np.full_like(rows, -1)
+    for length in range(1, wide + 1):
+        out[:, length - 1 :, length - 1] = rows[:, length - 1 :, length - 1][:, ::-1]
     return out
 
 
@@ -135,10 +157,7 @@ def fit_pieces(words: dict[str, int], pieces: dict[str, int], rounds: int = ROUN
     """Piece probabilities of one language by expectation-maximisation over its words: forward-backward gives each piece's
     expected count over all segmentations. Row 0 keeps the fixed probability of a strange character."""
     longest, steps = max(map(len, pieces), default=1), with_endings(pieces)
-    counts: dict[str, int] = {}
-    for w, n in words.items():
-        for s in stretches(w):
-            counts[s] = counts.get(s, 0) + n
+    counts = {"▁" + w: n for w, n in words.items() if len(w) < LONGEST_FITTED}
     strings = sorted(counts)
     weight = np.array([counts[s] for s in strings], float)
     size = len(pieces) + 1
@@ -149,18 +168,16 @@ def fit_pieces(words: dict[str, int], pieces: dict[str, int], rounds: int = ROUN
         for at in _by_length(strings):
             rows = lattice([strings[i] for i in at], steps, longest)
             n, wide = rows.shape[1:]
-            ahead = forward(rows, probs)[:, :, 0]
-            behind = np.zeros_like(ahead)
-            behind[n] = 1
-            for start in range(n - 1, -1, -1):
-                for length in range(1, min(wide, n - start) + 1):
-                    behind[start] += behind[start + length] * probs[rows[:, start + length - 1, length - 1], 0]
-            scale = weight[at] / ahead[n]
+            ahead, logs = (x[:, :, 0] for x in forward(rows, probs))
+            # The same from the end: what follows each position, seen as a prefix of the reversed words.
+            behind, back = (x[::-1, :, 0] for x in forward(_reversed(rows), probs))
+            total = np.log(ahead[n]) + logs[n]
             for start in range(n):
                 for length in range(1, min(wide, n - start) + 1):
                     p = rows[:, start + length - 1, length - 1]
                     here = p > 0
                     if here.any():
+                        scale = np.exp(logs[start] + back[start + length] - total) * weight[at]
                         expected += np.bincount(p[here], (ahead[start] * behind[start + length] * scale)[here] * probs[p[here], 0], minlength=size)
         expected[0] = 0
         probs[:size, 0] = expected / expected.sum()
@@ -265,11 +282,22 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def identify(docs: DataFrame, path: str = PIECES, labelled_docs: int = LABELLED_DOCS) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score), one row for each row of docs; repeated rows and null ids are rows like others."""
+    """(doc_id, held_out, lang_pred, score), one row for each row of docs; repeated rows and null ids are rows like others.
+
+    A null text or one without a letter is und; texts and words of any length are scored whole; columns other than doc_id, text
+    and lang have no effect, and lang none on a prediction; an empty table gives no rows."""
     found = predicted(fields(docs, "doc_id", "text"), fit(docs, path, labelled_docs))
     return found.select("doc_id", in_split(F.col("doc_id"), FOLDS, HELD_OUT).alias("held_out"), "lang_pred", "score")
 
 
 def recognised(docs: DataFrame, path: str = PIECES, labelled_docs: int = LABELLED_DOCS) -> DataFrame:
-    """docs without those rejected: texts in no learned language (und). Rows and columns are otherwise unchanged."""
-    return predicted(docs, fit(docs, path, labelled_docs)).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    """docs without those rejected: texts in no learned language (und), null ones among them. Rows, repeated ones too, and columns
+    of whatever name are otherwise unchanged; an empty table stays empty."""
+    held = docs.sparkSession.sparkContext.broadcast(fit(docs, path, labelled_docs))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(held.value)
+        for b in batches:
+            yield b.filter(pa.array([lang != UNKNOWN for lang in scorer(b.column("text").to_pylist())[0]], pa.bool_()))
+
+    return map_arrow(docs, keep, ", ".join(f"`{c}` {sql_type(docs, c)}" for c in docs.columns))

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import math
 import zlib
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -37,6 +39,40 @@ def test_forward_sums_all_segmentations():
         assert row == pytest.approx([all_segmentations("▁" + w, probs[:, k], pieces) for k in (0, 1)])
 
 
+def log_sum(word, probs, pieces, longest):
+    """The sum over all segmentations with exact fractions of integers."""
+    sums = [Fraction(1)]
+    for end in range(1, len(word) + 1):
+        lone = word[end - 1]
+        total = sums[end - 1] * Fraction(probs[pieces[lone]] if lone in pieces else langid.STRANGE)
+        for length in range(2, min(longest, end) + 1):
+            if (piece := word[end - length : end]) in pieces:
+                total += sums[end - length] * Fraction(probs[pieces[piece]])
+        sums.append(total)
+    return math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+
+
+@pytest.mark.parametrize("chunk", [5, 4096])
+def test_long_words_are_summed_whole(monkeypatch, chunk):
+    monkeypatch.setattr(langid, "CHUNK", chunk)
+    pieces = {p: i for i, p in enumerate(["▁", "a", "b", "ab", "ba", "▁a", "abc", "c", "bcab"], 1)}
+    rnd = np.random.default_rng(4)
+    probs = rnd.random((len(pieces) + 1, 2)) * 1e-6
+    probs[0] = langid.STRANGE
+    model = langid.Model(["x", "y"], langid.with_endings(pieces), probs, np.zeros(2), 4)
+    words = ["".join(rnd.choice(list("abcz"), n)) for n in (23, 24, 25, 42, 42, 300, 1000)]
+    for w, row in zip(words, langid.word_scores(words, model), strict=True):
+        assert row == pytest.approx([log_sum("▁" + w, probs[:, k], pieces, 4) for k in (0, 1)])
+
+
+def test_reversed_lattice_gives_the_same_sum():
+    pieces = {p: i for i, p in enumerate(["▁", "a", "b", "ab", "ba", "▁a", "abc", "c"], 1)}
+    probs = np.vstack([np.random.default_rng(5).random((len(pieces) + 1, 1)), np.zeros((1, 1))])
+    rows = langid.lattice(["▁abab", "▁abcz", "▁zabc"], langid.with_endings(pieces), 3)
+    (ahead, logs), (behind, back) = langid.forward(rows, probs), langid.forward(langid._reversed(rows), probs)
+    assert np.allclose(ahead[-1] * np.exp(logs[-1]), behind[-1] * np.exp(back[-1]))
+
+
 def test_expectation_maximisation_raises_likelihood():
     pieces = langid.vocabulary()
     words = {w: 1 + i % 3 for i, w in enumerate((EN + DE).split())}
