@@ -171,23 +171,27 @@ def pack(docs: DataFrame, shards: int | None = None, capacity: int | None = None
     the smallest capacity it manages, which makes their sizes near equal. slot counts 0, 1, ... within a shard.
 
     Groups of equal texts are indivisible as long as they fit: one that outweighs the capacity (there are fewer such groups
-    than shards) is dealt into hashed parts of at most about half of it. Only the histogram of group sizes comes to the
+    than shards) has its rows numbered and dealt in turn into parts of at most about half of it, whatever their ids. Only the histogram of group sizes comes to the
     driver; distinct sizes whose sum is the table's T bytes number at most sqrt(2 T). The packing names ranks within a size,
     and a distributed numbering by (size, group) turns ranks into groups. A null text has no bytes, size 8; repeated rows
-    and null ids are rows like others; an empty table gives no rows.
+    and null ids are rows like others; columns other than doc_id and text have no effect; an empty table gives no rows.
     """
     if (shards is None) == (capacity is None):
         raise ValueError("give either shards or capacity")
     spark = docs.sparkSession
-    rows = cut(measured(docs))
+    rows = cut(measured(docs)).withColumn("row", F.monotonically_increasing_id())  # of a table that is kept: the same each time
     total = rows.agg(F.sum("size")).first()[0] or 0
     limit = capacity or max(1, -(-total // shards))
     groups = rows.groupBy("gid").agg(F.count(F.lit(1)).alias("copies"), F.first("size").alias("size")).withColumn("weight", F.col("copies") * F.col("size"))
     # At most total / limit groups, which is the number of shards, outweigh the limit.
     heavy = groups.where(F.col("weight") > limit).select(F.col("gid").alias("h"), F.ceil(2 * F.col("weight") / limit).cast("int").alias("parts"))
     heavy = spark.createDataFrame(heavy.collect(), heavy.schema)
-    part = F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit("part")), F.col("parts")).cast("int"), F.lit(0))
-    rows = rows.join(F.broadcast(heavy), F.col("gid") == F.col("h"), "left").withColumn("part", part).drop("h", "parts")
+    marked = rows.join(F.broadcast(heavy), F.col("gid") == F.col("h"), "left").drop("h")
+    light, dealt = marked.where("parts is null").drop("parts").withColumn("part", F.lit(0)), marked.where("parts is not null")
+    rows = light
+    if not heavy.isEmpty():
+        turns = numbered(dealt, [F.col("row")], F.col("gid"), "turn")
+        rows = light.unionByName(turns.withColumn("part", F.expr("cast(turn % parts as int)")).select(light.columns))
     units = cut(rows.groupBy("gid", "part").agg(F.sum("size").alias("weight")))
     histogram = [tuple(x) for x in units.groupBy("weight").count().collect()]
     largest = max((w for w, _ in histogram), default=1)
@@ -201,7 +205,7 @@ def pack(docs: DataFrame, shards: int | None = None, capacity: int | None = None
     ranked = numbered(units, [F.desc("weight"), F.col("gid"), F.col("part")], F.lit(0), "rank")
     placed = _by_rank(ranked, plan).select("gid", "part", "shard")
     out = rows.join(placed, ["gid", "part"])
-    return numbered(out, [F.col("gid"), F.col("doc_id")], F.col("shard"), "slot").select("doc_id", "size", "text_crc32", "shard", "slot")
+    return numbered(out, [F.col("gid"), F.col("doc_id"), F.col("row")], F.col("shard"), "slot").select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
 def _by_rank(ranked: DataFrame, plan: list[tuple[int, int, int]]) -> DataFrame:
