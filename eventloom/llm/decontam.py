@@ -25,12 +25,17 @@ _WORD = re.compile(r"\w+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of word characters, each in lower case."""
+    if not text:
+        return []
+    low = text.lower()
+    return _WORD.findall(low) if len(low) == len(text) else [w.lower() for w in _WORD.findall(text)]
 
 
 @dataclass
 class Index:
-    """Items as word numbers, and seeds: sorted gram keys, and for each where it occurs (item row, offset)."""
+    """Items as word numbers, and seeds: sorted gram keys, and for each where it occurs (item row, offset). short: the items of fewer
+    than GRAM words, which match where all their words stand in a row."""
 
     ids: list
     items: list[np.ndarray]
@@ -38,13 +43,17 @@ class Index:
     grams: np.ndarray
     first: np.ndarray
     occurs: np.ndarray
+    short: dict[int, list[int]]
 
     @staticmethod
     def of(rows: list[tuple]) -> Index:
-        """rows: (item_id, text). Items of fewer than GRAM words have no seed, so they match nothing."""
+        """rows: (item_id, text). Items without a word match nothing."""
         vocabulary: dict[str, int] = {}
         items = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(t)], np.int64) for _, t in rows]
-        out = Index([i for i, _ in rows], items, vocabulary, np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros((0, 2), np.int64))
+        out = Index([i for i, _ in rows], items, vocabulary, np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros((0, 2), np.int64), {})
+        for k, x in enumerate(items):
+            if 0 < len(x) < GRAM:
+                out.short.setdefault(len(x), []).append(k)
         keys = [(out.keys(x), k) for k, x in enumerate(items) if len(x) >= GRAM]
         if keys:
             out._hold(np.concatenate([g for g, _ in keys]), np.concatenate([np.column_stack([np.full(len(g), k), np.arange(len(g))]) for g, k in keys]))
@@ -81,6 +90,20 @@ class Index:
         return at[same], row[same]
 
 
+    def exact(self, numbers: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(item row, first word) of the first place of each short item that stands in a text."""
+        for n, rows in self.short.items():
+            if len(numbers) < n:
+                continue
+            runs = sum(numbers[k : len(numbers) - n + 1 + k] << (21 * (n - 1 - k)) for k in range(n))
+            names, first = np.unique(runs, return_index=True)
+            for k in rows:
+                name = int(sum(int(w) << (21 * (n - 1 - i)) for i, w in enumerate(self.items[k])))
+                at = int(np.searchsorted(names, name))
+                if at < len(names) and names[at] == name:
+                    yield k, int(first[at])
+
+
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """(score, end in item, end in text) of the best local alignment with linear gaps; ends exclusive, the earliest of equals.
 
@@ -110,14 +133,15 @@ def leaks(index: Index, text: str | None) -> list[tuple[int, float, int, int]]:
     words = words_of(text)
     numbers = index.numbers(words)
     at, rows = index.hits(numbers)
-    if not len(at):
+    exact = list(index.exact(numbers)) if index.short else []
+    if not len(at) and not exact:
         return []
     windows: dict[int, list[tuple[int, int]]] = {}
     for p, g in zip(at.tolist(), rows.tolist(), strict=True):
         for k, offset in index.occurs[index.first[g] : index.first[g + 1]].tolist():
             n = len(index.items[k])
             windows.setdefault(k, []).append((max(0, p - offset - n // 2), min(len(numbers), p - offset + n + n // 2)))
-    out, spans = [], None
+    out = [(k, 1.0, a, a + len(index.items[k])) for k, a in exact]
     for k, found in windows.items():
         item, best = index.items[k], (0, 0, 0)
         merged: list[list[int]] = []
@@ -134,9 +158,9 @@ def leaks(index: Index, text: str | None) -> list[tuple[int, float, int, int]]:
                 back = align(item[:i][::-1], numbers[a : a + j][::-1])
                 best = (score, a + j - back[2], a + j)
         if best[0] >= LEAST_SHARE * MATCH * len(item):
-            spans = spans or [m.span() for m in _WORD.finditer(text if len(text.lower()) == len(text) else text.lower())]
-            out.append((k, best[0] / (MATCH * len(item)), spans[best[1]][0], spans[best[2] - 1][1]))
-    return sorted(out)
+            out.append((k, best[0] / (MATCH * len(item)), best[1], best[2]))
+    spans = [m.span() for m in _WORD.finditer(text)] if out else []
+    return sorted((k, share, spans[a][0], spans[b - 1][1]) for k, share, a, b in out)
 
 
 def blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple]]:
@@ -153,8 +177,10 @@ def contaminated(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYT
     """(doc_id, item_id, score, start, end): each text's best copy of each item that it holds, and nothing for clean texts.
 
     One narrow pass over the texts for each block of items looks up every n-gram of the items and aligns the words around
-    the hits, so a copy is met if it keeps any GRAM words in a row; no text is shuffled.
-    Null texts hold nothing; a null doc_id or item_id is carried as it is; repeated rows and items are reported each.
+    the hits, so a copy is met if it keeps any GRAM words in a row; an item of fewer words is met where all of them stand in
+    a row. No text is shuffled, and long ones are searched whole. start and end are code points of the text as it is.
+    Null and empty texts hold nothing; a null doc_id or item_id is carried as it is; repeated rows and items are reported
+    each; other columns have no effect; an empty table, or one without items, gives no rows.
     """
     base = fields(docs, "doc_id", "text")
     kinds = f"doc_id {sql_type(docs, 'doc_id')}, item_id {sql_type(items, 'item_id')}, score double, start bigint, end bigint"
@@ -175,7 +201,8 @@ def contaminated(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYT
 
 
 def clean(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs without the texts that hold a copy of an item; other rows and all columns as they are, no shuffle."""
+    """docs without the texts that hold a copy of an item; other rows, repeated and null ones too, and all columns, whatever their
+    names, as they are; no shuffle. An empty table, or one without items, stays as it is."""
     out = docs
     for rows in blocks(items, block_bytes):
         held = docs.sparkSession.sparkContext.broadcast(Index.of(rows))

@@ -76,7 +76,7 @@ def test_odd_rows(spark):
     bench = [(7, "one two three four"), (None, "one two three four"), (8, None), (9, "one two"), (10, "")]
     df, items = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string")
     got = sorted(((r.doc_id, r.item_id, r.score) for r in decontam.contaminated(df, items).collect()), key=str)
-    assert got == sorted(((d, i, 1.0) for d in (None, 4, 4, 5) for i in (7, None)), key=str)
+    assert got == sorted(((d, i, 1.0) for d in (None, 4, 4, 5) for i in (7, None, 9)), key=str)
     assert decontam.contaminated(df, items.limit(0)).collect() == []
     assert decontam.contaminated(df.limit(0), items).collect() == []
     assert decontam.clean(df, items.limit(0)).count() == 6
@@ -99,3 +99,14 @@ def test_edited_copies_are_met_alone_and_beside_exact_ones(spark):
         df = spark.createDataFrame(docs, "doc_id bigint, text string")
         assert {(r.doc_id, r.item_id) for r in decontam.contaminated(df, bench).collect()} == want
         assert {r.doc_id for r in decontam.clean(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
+def test_short_items_match_whole():
+    index = decontam.Index.of([(1, "Forty-two"), (2, "Yes!"), (3, "?"), (4, None), (5, "two forty")])
+    assert decontam.leaks(index, "It is FORTY two, they say; forty two. Yes") == [(0, 1.0, 6, 15), (1, 1.0, 38, 41)]
+    assert decontam.leaks(index, "forty and two, yesterday") == []
+
+
+def test_spans_are_of_the_text_as_it_is():
+    index = decontam.Index.of([(1, "one two three four five")])
+    assert decontam.leaks(index, "İİİİ zz one two three four five") == [(0, 1.0, 8, 31)]
