@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import math
 import re
 import string
+import unicodedata
+from bisect import bisect
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,8 +20,9 @@ from pyspark.sql import DataFrame
 from eventloom.llm.common import fields, map_arrow, sql_type
 
 ROUNDS = 10
-#: The key of the registered query; a deployment gives its own.
-KEY = b"eventloom-demonstration-key"
+#: The session setting that holds the secret key as text, and the published one that the registered query takes without it:
+#: good for tests alone. The operator itself has no default.
+KEY_SETTING, DEMONSTRATION_KEY = "spark.eventloom.pii.key", "eventloom-demonstration-key"
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 KINDS = ("email", "iban", "card", "phone", "ssn", "ipv4", "date")
 
@@ -30,17 +35,15 @@ def permute(value: int, size: int, key: bytes, tweak: bytes = b"", back: bool =
     """
     if size < 2:
         return value
-    a = max(2, int(size**0.5))
-    while a * a < size:
-        a += 1
+    a = max(2, math.isqrt(size - 1) + 1)
     b = -(-size // a)
-    x = value
+    wide, x = a.bit_length() // 8 + 9, value
     while True:
         left, right = divmod(x, b)
         for i in reversed(range(ROUNDS)) if back else range(ROUNDS):
             even = i % 2 == 0
             source = right if even else left
-            f = int.from_bytes(hashlib.blake2b(b"%d:%d:%d:" % (i, size, source) + tweak, key=key[:64], digest_size=16).digest(), "big")
+            f = int.from_bytes(_hashed(b"%d:%x:%x:" % (i, size, source) + tweak, key, wide), "big")
             f = -f if back else f
             if even:
                 left = (left + f) % a
@@ -51,6 +54,14 @@ def permute(value: int, size: int, key: bytes, tweak: bytes = b"", back: bool =
             return x
 
 
+def _hashed(message: bytes, key: bytes, size: int) -> bytes:
+    """`size` bytes of a keyed hash, in blocks of 64."""
+    key = key if len(key) <= 64 else hashlib.blake2b(key).digest()
+    if size <= 64:
+        return hashlib.blake2b(message, key=key, digest_size=size).digest()
+    return b"".join(hashlib.blake2b(message, key=key, salt=k.to_bytes(16, "big")).digest() for k in range(1, -(-size // 64) + 1))[:size]
+
+
 def luhn_digit(digits: str) -> str:
     """The check digit that completes digits."""
     total = 0
@@ -65,20 +76,35 @@ def iban_check(country: str, account: str) -> str:
     return f"{98 - int(number) % 97:02d}"
 
 
-# The letters of Latin-1 beyond ASCII.
-_MORE = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß"
-_CLASSES = (string.digits, string.ascii_lowercase, string.ascii_uppercase, _MORE)
+def _cased(c: str) -> bool:
+    """Whether a lower-case character has one upper-case one that leads back to it."""
+    up = c.upper()
+    return len(up) == 1 and up != c and up.lower() == c
+
+
+@lru_cache(1 << 14)
+def class_of(c: str) -> str | None:
+    """The characters that may stand for c, c among them: ASCII digits, lower or upper case, or for other letters and numbers
+    those of the same general category and casing within the same 256 code points. None for other characters, which stay."""
+    for plain in (string.digits, string.ascii_lowercase, string.ascii_uppercase):
+        if c in plain:
+            return plain
+    kind = unicodedata.category(c)
+    if kind[0] not in "LN":
+        return None
+    start = ord(c) & ~0xFF
+    return "".join(x for x in map(chr, range(max(start, 128), start + 256)) if unicodedata.category(x) == kind and _cased(x) == _cased(c))
 
 
 def permute_chars(text: str, key: bytes, tweak: bytes, back: bool = False) -> str:
-    """Digits, lower, upper and accented letters each within their class, all places at once; other characters stay."""
-    places = [(i, c) for i, ch in enumerate(text) for c in _CLASSES if ch in c]
+    """Digits and letters of any script each within their class, all places at once; other characters stay."""
+    places = [(i, c) for i, ch in enumerate(text) if (c := class_of(ch))]
     value = size = 0
     for i, c in places:
         value, size = value * len(c) + c.index(text[i]), (size or 1) * len(c)
     if not places:
         return text
-    shape = bytes(_CLASSES.index(c) for _, c in places)
+    shape = "".join(c[0] for _, c in places).encode()
     value = permute(value, size, key, tweak + shape, back)
     out = list(text)
     for i, c in reversed(places):
@@ -97,8 +123,11 @@ def _refill(text: str, digits: str) -> str:
 
 
 def _email(m: re.Match, key: bytes, back: bool) -> str:
-    name, _, last = m[0].rpartition(".")
-    return f"{permute_chars(name.lower(), key, b'email', back)}.{last}"
+    """The address in lower case is permuted but for its last label; capitals stand where they stood."""
+    upper = [_cased(c.lower()) and c != c.lower() for c in m[0]]
+    name, _, last = "".join(c.lower() if up else c for c, up in zip(m[0], upper, strict=True)).rpartition(".")
+    new = f"{permute_chars(name, key, b'email', back)}.{last}"
+    return "".join(c.upper() if up else c for c, up in zip(new, upper, strict=True))
 
 
 def _card(m: re.Match, key: bytes, back: bool) -> str | None:
@@ -109,10 +138,15 @@ def _card(m: re.Match, key: bytes, back: bool) -> str | None:
     return _refill(m[0], body + luhn_digit(body))
 
 
+# Characters of an IBAN by country, from the public registry.
+_IBAN_LENGTHS = "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in _IBAN_LENGTHS.split()}
+
+
 def _iban(m: re.Match, key: bytes, back: bool) -> str | None:
     plain = m[0].replace(" ", "")
     country, check, account = plain[:2], plain[2:4], plain[4:]
-    if not 11 <= len(account) <= 30 or iban_check(country, account) != check:
+    if len(plain) != IBAN_LENGTHS.get(country, len(plain)) or not 11 <= len(account) <= 30 or iban_check(country, account) != check:
         return None
     account = permute_chars(account, key, b"iban" + country.encode(), back)
     given = iter(country + iban_check(country, account) + account)
@@ -193,7 +227,25 @@ def _ends(kind: str, run: str) -> list[int]:
     return usual + [e for e in reversed(borders) if e not in usual]
 
 
-def _find_in_runs(text: str, kind: str, pattern: re.Pattern, replace: Callable, key: bytes, back: bool, out: list[Found]) -> None:
+@dataclass
+class _Taken:
+    """Values that are found, without overlap, in order of their starts."""
+
+    starts: list[int] = field(default_factory=list)
+    found: list[Found] = field(default_factory=list)
+
+    def free(self, a: int, b: int) -> bool:
+        """Whether no value has a place in a to b: only the last one that starts before b can."""
+        at = bisect(self.starts, b - 1)
+        return not at or self.found[at - 1].end <= a
+
+    def add(self, f: Found) -> None:
+        at = bisect(self.starts, f.start)
+        self.starts.insert(at, f.start)
+        self.found.insert(at, f)
+
+
+def _find_in_runs(text: str, kind: str, pattern: re.Pattern, replace: Callable, key: bytes, back: bool, out: _Taken) -> None:
     """Adds cards or IBANs: a run may go on over words and numbers beside the value, so its groups are tried from each start to each end."""
     at = 0
     while m := pattern.search(text, at):
@@ -201,20 +253,20 @@ def _find_in_runs(text: str, kind: str, pattern: re.Pattern, replace: Callable,
         at = next((i + 1 for i in range(a, b) if text[i] in " -"), b)
         for e in _ends(kind, m[0]):
             part = pattern.fullmatch(text, a, a + e)
-            if part is None or any(f.start < a + e and a < f.end for f in out):
+            if part is None or not out.free(a, a + e):
                 continue
             new = replace(part, key, back)
             if new is not None:
-                out.append(Found(a, a + e, kind, new))
+                out.add(Found(a, a + e, kind, new))
                 at = a + e
                 break
 
 
-def find(text: str | None, key: bytes = KEY, back: bool = False) -> list[Found]:
+def find(text: str | None, key: bytes, back: bool = False) -> list[Found]:
     """Valid values in text order, in code points, with their pseudonyms."""
     if not text or not any(c in text for c in "0123456789@"):
         return []
-    out: list[Found] = []
+    out = _Taken()
     for kind, pattern, replace in FINDERS:
         if kind == "email" and "@" not in text:
             continue
@@ -223,12 +275,9 @@ def find(text: str | None, key: bytes = KEY, back: bool = False) -> list[Found]:
             continue
         for m in pattern.finditer(text):
             a, b = m.span()
-            if any(f.start < b and a < f.end for f in out):
-                continue
-            new = replace(m, key, back)
-            if new is not None:
-                out.append(Found(a, b, kind, new))
-    return sorted(out, key=lambda f: f.start)
+            if out.free(a, b) and (new := replace(m, key, back)) is not None:
+                out.add(Found(a, b, kind, new))
+    return out.found
 
 
 def replaced(text: str, found: list[Found]) -> str:
@@ -239,13 +288,14 @@ def replaced(text: str, found: list[Found]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def pseudonymised(docs: DataFrame, key: bytes = KEY, back: bool = False) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
     """(doc_id, text, n_<kind> bigint..., spans): each text with its valid values replaced, one row for each row of docs.
 
     Narrow and without state: a pseudonym depends on the value and the key alone, so equal values stay equal everywhere, and
-    one that is written with other separators gets the same digits. Check digits, separators, letter and digit places are
-    kept, so pseudonyms are valid values of their format. spans: kind:start:end of the values in the old text, code points,
-    comma-joined. A null text stays null with no spans; null ids and repeated rows are rows like others.
+    one that is written with other separators or, for addresses, other capitals gets the same characters. Check digits,
+    separators, letter and digit places are kept, so pseudonyms are valid values of their format. spans: kind:start:end of the values in the old text, code points,
+    comma-joined. A null text stays null with no spans; null ids and repeated rows are rows like others, columns
+    other than doc_id and text have no effect, texts of any length are read whole, and an empty table gives no rows.
     """
     names = [f"n_{k}" for k in KINDS]
 

@@ -51,7 +51,8 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(table(spark, sf_dir, "documents"))
+    key = spark.conf.get(pii.KEY_SETTING, pii.DEMONSTRATION_KEY)
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), key.encode())
 
 
 #: Lines linked by one edit are found by their halves: of two lines within one edit, the first or the last half is equal.
