@@ -171,7 +171,8 @@ def pack(docs: DataFrame, shards: int | None = None, capacity: int | None = None
     the smallest capacity it manages, which makes their sizes near equal. slot counts 0, 1, ... within a shard.
 
     Groups of equal texts are indivisible as long as they fit: one that outweighs the capacity (there are fewer such groups
-    than shards) has its rows numbered and dealt in turn into parts of at most about half of it, whatever their ids. Only the histogram of group sizes comes to the
+    than shards) is taken row by row, whatever the rows' ids: its numbered rows are items of their own, and a bin takes as many
+    of them at its turn as fit, so they stay together as far as they can. Only the histogram of group sizes comes to the
     driver; distinct sizes whose sum is the table's T bytes number at most sqrt(2 T). The packing names ranks within a size,
     and a distributed numbering by (size, group) turns ranks into groups. A null text has no bytes, size 8; repeated rows
     and null ids are rows like others; columns other than doc_id and text have no effect; an empty table gives no rows.
@@ -184,14 +185,11 @@ def pack(docs: DataFrame, shards: int | None = None, capacity: int | None = None
     limit = capacity or max(1, -(-total // shards))
     groups = rows.groupBy("gid").agg(F.count(F.lit(1)).alias("copies"), F.first("size").alias("size")).withColumn("weight", F.col("copies") * F.col("size"))
     # At most total / limit groups, which is the number of shards, outweigh the limit.
-    heavy = groups.where(F.col("weight") > limit).select(F.col("gid").alias("h"), F.ceil(2 * F.col("weight") / limit).cast("int").alias("parts"))
+    heavy = groups.where(F.col("weight") > limit).select(F.col("gid").alias("h"))
     heavy = spark.createDataFrame(heavy.collect(), heavy.schema)
-    marked = rows.join(F.broadcast(heavy), F.col("gid") == F.col("h"), "left").drop("h")
-    light, dealt = marked.where("parts is null").drop("parts").withColumn("part", F.lit(0)), marked.where("parts is not null")
-    rows = light
-    if not heavy.isEmpty():
-        turns = numbered(dealt, [F.col("row")], F.col("gid"), "turn")
-        rows = light.unionByName(turns.withColumn("part", F.expr("cast(turn % parts as int)")).select(light.columns))
+    marked = rows.join(F.broadcast(heavy), F.col("gid") == F.col("h"), "left")
+    light, dealt = marked.where("h is null").drop("h").withColumn("part", F.lit(0).cast("bigint")), marked.where("h is not null").drop("h")
+    rows = light if heavy.isEmpty() else light.unionByName(numbered(dealt, [F.col("row")], F.col("gid"), "part"))
     units = cut(rows.groupBy("gid", "part").agg(F.sum("size").alias("weight")))
     histogram = [tuple(x) for x in units.groupBy("weight").count().collect()]
     largest = max((w for w, _ in histogram), default=1)
@@ -219,4 +217,4 @@ def _by_rank(ranked: DataFrame, plan: list[tuple[int, int, int]]) -> DataFrame:
             at = np.searchsorted(low, b.column("rank").to_numpy(), side="right") - 1
             yield pa.RecordBatch.from_arrays([b.column("gid"), b.column("part"), pa.array(shard[at])], ["gid", "part", "shard"])
 
-    return map_arrow(ranked.select("gid", "part", "rank"), find, "gid binary, part int, shard int")
+    return map_arrow(ranked.select("gid", "part", "rank"), find, "gid binary, part bigint, shard int")
