@@ -5,13 +5,16 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from eventloom.llm.common import fields, map_arrow, sql_type
+from eventloom.llm.lexing import Constants, lex
 
 #: Fixed patterns and least lengths of the base kinds, in listed order; letters of the names in either case, ASCII only.
 _EITHER = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
@@ -22,14 +25,15 @@ HEX = re.compile("(?<![0-9a-f])[0-9a-f]{16,}")
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 KINDS = ("assign", "access", "hex", "literal")
 
-#: A name, an operator and a value of source code or configuration: quoted, or up to white space or a closing mark.
-_PAIR = re.compile(
-    r"""(?<![A-Za-z0-9_.\-])(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)(?P<close>["'\]]{0,2})[\x20\t]*(?P<op>:=|=>|=(?!=)|:(?!:))[\x20\t]*(?:(?P<quote>["'`])(?P<text>(?:\\.|(?!(?P=quote))[^\\\n])*)(?P=quote)|(?P<bare>[^\s"'`,;(){}\[\]]+))"""
+#: What a sensitive name holds, in words joined by _, and its weight.
+SENSITIVE = (
+    (re.compile("pass_?(?:word|wd|phrase|code)|secret(?!ar)|credential|(?:api|access|private|signing|encryption|master)_?key"), 3),
+    (re.compile("(?:^|_)pwd(?:_|$)|token(?!i[sz])|bearer"), 2),
+    (re.compile("(?:^|_)auth(?:_|$|ori[sz]ation)|signature"), 1),
 )
-_NAME = re.compile(r"\$?\{?([A-Za-z_][A-Za-z0-9_.\-]*)\}?")
-#: What a sensitive name contains, with its weight.
-SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 2, "secret": 3, "token": 2, "apikey": 3, "accesskey": 3, "privatekey": 3, "credential": 2, "auth": 1, "signature": 1}
-_HINT = re.compile("|".join(["passw", "passphrase", "pwd", "secret", "token", "api.?key", "access.?key", "private.?key", "credential", "auth", "signature"]), re.I)
+#: Letters that every such name holds, whatever stands between them: a text without them all has none.
+_LETTERS = [w.encode() for w in ("password", "passwd", "passphrase", "passcode", "secret", "credential", "apikey", "accesskey", "privatekey", "signingkey", "encryptionkey", "masterkey", "pwd", "token", "bearer", "auth", "signature")]
+_OTHERS = bytes(b for b in range(256) if not (48 <= b < 58 or 97 <= b < 123))
 #: Weight of the name plus strength of the literal from which a pair counts.
 LEAST_SCORE, LEAST_LITERAL = 4.0, 8
 _PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|changeme|change_me|example|placeholder|redacted|none|null|true|false|undefined|your[_-].*|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s)$")
@@ -46,8 +50,15 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def name_weight(name: str) -> int:
-    plain = re.sub(r"[^a-z0-9]", "", name.lower())
-    return max((w for word, w in SENSITIVE.items() if word in plain), default=0)
+    """By the name's words: letters in one case between marks, or from a capital on."""
+    words = re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|[^A-Za-z0-9]+", "_", name).lower()
+    return next((w for pattern, w in SENSITIVE if pattern.search(words)), 0)
+
+
+def may_have_names(text: str) -> bool:
+    """Whether the letters of a sensitive name stand in a row, other characters aside."""
+    plain = text.encode("utf-8", "surrogatepass").lower().translate(None, _OTHERS)
+    return any(w in plain for w in _LETTERS)
 
 
 def literal_strength(literal: str) -> float:
@@ -61,31 +72,39 @@ def literal_strength(literal: str) -> float:
 
 
 def literal_spans(text: str) -> list[tuple[int, int, str]]:
-    """Literals that are assigned to sensitive names, straight or through names that hold them.
+    """Literals that are assigned to sensitive names, straight, joined or through names that hold them.
 
-    Pairs are lexed in text order; a bare value that names an earlier target stands for that target's literal (chains
-    included, cycles end), so the span is where the literal itself is written.
+    The span of a literal is where it is written; parts that are joined in one expression have one span, from the first to the
+    last. Unquoted values count if they have a digit, in comments just after an equals sign.
     """
-    if not _HINT.search(text):
+    if not may_have_names(text):
         return []
-    held: dict[str, tuple[int, int]] = {}
-    out = set()
-    for m in _PAIR.finditer(text):
-        name, quoted = m["name"], m["quote"] is not None
-        at = m.span("text") if quoted else m.span("bare")
-        if not quoted and (ref := _NAME.fullmatch(m["bare"])) and ref[1] in held:
-            at = held[ref[1]]
-        held[name] = at
-        if (weight := name_weight(name)) and weight + literal_strength(text[at[0] : at[1]]) >= LEAST_SCORE:
-            out.add((*at, "literal"))
-    return list(out)
+    lexed = lex(text)
+    constants, out = None, set()
+    for pair in lexed.pairs:
+        weight = name_weight(pair.target)
+        if not weight:
+            continue
+        constants = constants or Constants(lexed)
+        parts = [p for p in constants.literals(pair) if p.quoted or (any(c.isdigit() for c in text[p.start : p.end]) and (pair.op == "=" or not pair.note))]
+        whole = "".join(text[p.start : p.end] for p in parts)
+        if "\n" in whole:
+            whole = "".join(whole.split())
+        if parts and weight + literal_strength(whole) >= LEAST_SCORE:
+            own = {id(p) for p in pair.parts}
+            inline = [p for p in parts if id(p) in own]
+            if inline:
+                out.add((inline[0].start, inline[-1].end, "literal"))
+            out.update((p.start, p.end, "literal") for p in parts if id(p) not in own)
+    return sorted(out)
 
 
 def find(text: str | None) -> dict[str, list[tuple[int, int, str]]]:
     """base and added spans of one text; an added span that a base span covers is not repeated."""
     text = text or ""
-    base = base_spans(text)
-    added = [s for s in literal_spans(text) if not any(b[0] <= s[0] and s[1] <= b[1] for b in base)]
+    base = sorted(base_spans(text))
+    starts, furthest = [b[0] for b in base], list(accumulate((b[1] for b in base), max))
+    added = [s for s in literal_spans(text) if not ((k := bisect(starts, s[0])) and furthest[k - 1] >= s[1])]
     return {"base": base, "added": added}
 
 
