@@ -6,37 +6,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import cut, fields, map_arrow, sql_type
+from eventloom.llm import similar
+from eventloom.llm.common import cut, fields, map_arrow, release, small, sql_type
 from eventloom.llm.graph import components
 
-SEED, WIDTH, RADIUS = 42, 3, 2
+WIDTH, RADIUS = 3, 2
 #: A table bucket with more fingerprints than this is searched through common neighbours, not in pairs.
 WIDE_BUCKET = 64
 _BLOCK = 255 * 256
 
 
-def fingerprint(text: str | None) -> int:
-    """The unsigned 64-bit SimHash: a bit is 1 if over half the shingles' XXH64 values have it; no words: 0."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and the six ASCII spaces alone
-    if not words:
-        return 0
-    hashed = xxhash.xxh64_intdigest
-    if len(words) < WIDTH:
-        return hashed(b" ".join(words), SEED)
-    ones, n = np.zeros(64, np.int64), len(words) - WIDTH + 1
+def majority(hashes: np.ndarray) -> int:
+    """The unsigned 64-bit number whose bits are set in over half of the hashes; 0 for none."""
+    ones, n = np.zeros(64, np.int64), len(hashes)
     for at in range(0, n, _BLOCK):
-        part = words[at : at + _BLOCK + WIDTH - 1]
-        hashes = np.fromiter((hashed(b"%b %b %b" % s, SEED) for s in zip(part, part[1:], part[2:], strict=False)), np.uint64, len(part) - WIDTH + 1)
-        bits = np.unpackbits(hashes.view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8)  # eight one-byte counters in each word
+        bits = np.unpackbits(hashes[at : at + _BLOCK].view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8)  # eight one-byte counters in each word
         for k in range(0, len(bits), 255):
             ones += bits[k : k + 255].sum(axis=0).view(np.uint8)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, width: int = WIDTH) -> int:
+    """The unsigned 64-bit SimHash: a bit is 1 if over half the shingles' XXH64 values have it; no words: 0."""
+    return majority(similar.shingles(text, width))
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         prints = np.fromiter((fingerprint(x) for x in b.column("text").to_pylist()), np.uint64, b.num_rows)
@@ -96,11 +93,47 @@ def as_hex(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one document of each near-copy component: the one whose doc_id is the component's smallest.
+def sketches(docs: DataFrame, width: int = similar.WIDTH) -> DataFrame:
+    """(at, fp, size, bands) of each row of docs(at, text): fingerprint, number of distinct shingles and MinHash bands from one
+    pass over the text's shingles."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints, sizes, held = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int64), []
+            for i, text in enumerate(b.column("text").to_pylist()):
+                hashes = similar.shingles(text, width)
+                prints[i] = majority(hashes)
+                own = np.unique(hashes)
+                sizes[i] = len(own)
+                held.append(similar.bands(own))
+            yield pa.RecordBatch.from_arrays([b.column("at"), pa.array(prints.view(np.int64)), pa.array(sizes), pa.array(held, pa.list_(pa.int64()))], ["at", "fp", "size", "bands"])
+
+    return map_arrow(docs, scan, f"at {sql_type(docs, 'at')}, fp bigint, size bigint, bands array<bigint>")
+
+
+def one_of_each(docs: DataFrame, width: int = similar.WIDTH, least: float = similar.LEAST, wide_bucket: int = WIDE_BUCKET) -> DataFrame:
+    """docs with one document of each group of near copies: first of each component of SimHash fingerprints of `width` words within
+    2 bits, then, of what these leave, none whose shingles have a Jaccard similarity of `least` or more with one of a smaller id.
 
-    Rows that repeat that id count as one and leave one row. A row without id can't be named by a component: it stays.
+    The document with the smallest id stays, one with an id rather than one without, the smallest version (hash of the text)
+    among equal ids. Different texts under one id are documents of their own; rows with equal id and text leave one row. A null
+    text counts as empty, and all without words are copies of one another. Columns are as they were, whatever their names; an
+    empty table stays empty. Texts move only where what goes or repeats is too much to broadcast: names are what is joined.
     """
-    kept = near_copies(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    rows = docs.select(similar.name(docs).alias("at"), docs["text"].alias("text"))
+    signed = cut(sketches(rows, width))
+    prints = cut(signed.groupBy("fp").agg(F.min("at").alias("least"), F.count(F.lit(1)).alias("rows")))
+    linked = cut(links(prints.select("fp"), wide_bucket))
+    placed = prints.join(components(linked, "a", "b").withColumnsRenamed({"node": "fp"}), "fp", "left").where("rows > 1 or root is not null")
+    placed = cut(placed.select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    heads = cut(placed.join(placed.groupBy("root").agg(F.min("least").alias("head")), "root").select("fp", "head"))
+    copies = cut(signed.join(small(heads), "fp").where("at != head").select("at").distinct())
+    release(prints, linked, placed)
+    gone = copies.unionByName(similar.near(signed.join(small(copies), "at", "left_anti").select("at", "size", "bands"), rows, width, least))
+    again = cut(signed.groupBy("at").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("at").join(gone, "at", "left_anti"))
+    release(signed)
+    named = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), similar.name(docs).alias("at"))
+    once = named.join(small(cut(gone.unionByName(again))), "at", "left_anti")
+    if not again.isEmpty():
+        once = once.unionByName(named.join(small(again), "at", "left_semi").dropDuplicates(["at"]))
+    return once.select(*(F.col("row")[c].alias(c) for c in docs.columns))

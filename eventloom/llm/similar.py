@@ -3,77 +3,104 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import cut, fields, map_arrow, sql_type
+from eventloom.llm.common import cut, map_arrow, release, small, sql_type
 
-WIDTH, LEAST = 5, 0.8
+WIDTH, LEAST, SEED = 5, 0.8, 42
 #: Two texts of similarity s share a band with probability 1 - (1 - s**ROWS)**BANDS: 0.9996 at 0.8.
-BANDS, ROWS, SEED = 20, 5, 42
+BANDS, ROWS = 20, 5
 _BLOCK = 4096
-#: Buckets of no more documents are compared in pairs; candidate ids are broadcast up to BROADCAST_ROWS.
-SMALL_BUCKET, BROADCAST_ROWS = 16, 1_000_000
+#: Buckets of no more documents are compared in pairs at once, larger ones with their first documents, up to HEADS a round.
+SMALL_BUCKET, HEADS, GROWTH = 16, 4096, 16
+#: Rows of a table between rounds that one task keeps.
+TASK_ROWS = 100_000
 _RANDOM = np.random.default_rng(SEED)
 _A = _RANDOM.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
 _B = _RANDOM.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64)
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The sorted distinct XXH64 values of a text's word runs, words as SimHash takes them; a shorter text is one shingle, no words are none."""
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The XXH64 values of a text's runs of `width` words, repeats included; a shorter text is one run, no words are none.
+
+    Words part at the six ASCII spaces, A-Z count as lower case."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    runs = [words[i : i + WIDTH] for i in range(max(1, len(words) - WIDTH + 1))] if words else []
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(r), SEED) for r in runs), np.uint64, len(runs)))
+    if not words:
+        return np.zeros(0, np.uint64)
+    width = min(width, len(words))
+    runs = map(b" ".join, zip(*(islice(words, k, None) for k in range(width)), strict=False))
+    return np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), np.uint64, len(words) - width + 1)
 
 
-def bands(text: str | None) -> list[int]:
-    """A hash of each band's ROWS least values; none for a text without words."""
-    hashes = shingles(text)
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A signed hash of each band's ROWS least values; none for no shingles."""
     if not len(hashes):
-        return []
+        return np.zeros(0, np.int64)
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), _BLOCK):
         least = np.minimum(least, (hashes[at : at + _BLOCK] * _A + _B).min(axis=1))
-    return [xxhash.xxh64_intdigest(row.tobytes(), SEED) - (1 << 63) for row in least.reshape(BANDS, ROWS)]
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), SEED) for row in least.reshape(BANDS, ROWS)], np.uint64).view(np.int64)
+
+
+def version(text: str = "text") -> Column:
+    """Tells the texts under one id, or without one, apart."""
+    return F.xxhash64(text)
+
+
+def name(docs: DataFrame) -> Column:
+    """A document's name, by which documents are ordered: doc_id, ones without it last, then the version of the text."""
+    return F.struct(docs["doc_id"].isNull().alias("without"), docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("version"))
 
 
-def _mapped(docs: DataFrame, name: str, of) -> DataFrame:
+def _sets(docs: DataFrame, width: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([of(t) for t in b.column("text").to_pylist()], pa.list_(pa.int64()))], ["doc_id", name])
+            yield pa.RecordBatch.from_arrays([b.column("at"), pa.array([np.unique(shingles(t, width)).view(np.int64) for t in b.column("text").to_pylist()], pa.list_(pa.int64()))], ["at", "grams"])
 
-    return map_arrow(fields(docs, "doc_id", "text"), scan, f"doc_id {sql_type(docs, 'doc_id')}, {name} array<bigint>")
+    return map_arrow(docs, scan, f"at {sql_type(docs, 'at')}, grams array<bigint>")
 
 
-def near(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id): documents of ids that a smaller id's text is similar to (Jaccard LEAST or more); no two of the others are, as far as they share a band.
+def near(sketched: DataFrame, docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
+    """(at): documents that one with a smaller name is similar to (Jaccard `least` or more of their sets of shingles); no two of
+    the others are, as far as they share a band.
 
-    Buckets of up to SMALL_BUCKET are paired off. In a larger one, round by round, the smallest id is compared with the
-    others, and those that are similar go: a group of near copies costs its size, not its square.
+    sketched: (at, size, bands) of the documents to compare, size being the number of distinct shingles; docs: (at, text) of
+    these and maybe others. Buckets of up to SMALL_BUCKET documents are paired off. In larger ones, round by round, the first
+    1, 16, 256, ... documents are compared with the others, and those that are similar go: a group of near copies costs its size,
+    not its square. A large bucket of documents that are not similar (they share a passage, say) costs the pairs of its
+    documents of like size in the end. Sizes too far apart for the similarity are not compared; no pair is compared twice.
     """
-    sketched = cut(_mapped(docs, "bands", bands).dropDuplicates(["doc_id"]).join(ids, "doc_id", "left_semi"))
-    entry = sketched.select("doc_id", F.explode("bands").alias("value"))
-    met = cut(entry.join(entry.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value"), "value", "left_semi"))
-    asked = cut(met.select("doc_id").distinct())
-    asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
-    sets = cut(_mapped(docs.join(asked, "doc_id", "left_semi"), "grams", lambda t: shingles(t).view(np.int64)).dropDuplicates(["doc_id"]))
-    gone = tested = None
-    while not met.isEmpty():
-        filled = cut(met.groupBy("value").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-        few, many = filled.where(F.col("n") <= SMALL_BUCKET).select("value"), filled.where(F.col("n") > SMALL_BUCKET).select("value", "head")
-        rest = cut(met.join(many, "value").where("doc_id != head"))
-        small = met.join(few, "value", "left_semi")
-        pairs = small.join(small.select("value", F.col("doc_id").alias("head")), "value").where("head < doc_id").select("doc_id", "head")
-        pairs = pairs.unionByName(rest.select("doc_id", "head")).distinct()
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["doc_id", "head"], "left_anti"))
-        both = pairs.join(sets, "doc_id").join(sets.withColumnsRenamed({"doc_id": "head", "grams": "others"}), "head")
+    entry = sketched.select("at", "size", F.explode("bands").alias("value"))
+    filled = entry.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value")
+    met = cut(entry.join(small(filled), "value", "left_semi").distinct())
+    asked = cut(met.select("at").distinct())
+    sets = cut(_sets(docs.join(small(asked), "at", "left_semi"), width).dropDuplicates(["at"]))
+    gone, tested, heads = asked.limit(0), None, 1
+    while rows := met.count():
+        parts = lambda df, most: df.coalesce(-(-most // TASK_ROWS))  # noqa: B023, E731
+        filled = cut(parts(met.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), rows))
+        few, many = (small(filled.where(c).select("value")) for c in (F.col("n") <= SMALL_BUCKET, F.col("n") > SMALL_BUCKET))
+        rest = met.join(many, "value", "left_semi")
+        ranked = cut(parts(rest.withColumn("place", F.expr("row_number() over (partition by value order by at)")).where(F.col("place") <= heads).drop("place"), rows))
+        as_head = lambda x: x.withColumnsRenamed({"at": "head", "size": "head_size"})
+        paired = met.join(few, "value", "left_semi")
+        pairs = paired.join(as_head(paired), "value").unionByName(rest.join(as_head(ranked), "value"))
+        pairs = pairs.where((F.col("head") < F.col("at")) & (F.least("size", "head_size") >= least * F.greatest("size", "head_size"))).select("at", "head").distinct()
+        pairs = cut(parts(pairs if tested is None else pairs.join(tested, ["at", "head"], "left_anti"), rows * min(heads + SMALL_BUCKET, rows)))
+        members = cut(parts(pairs.select("at").unionByName(pairs.select(F.col("head").alias("at"))).distinct(), rows))
+        used = sets.join(small(members), "at", "left_semi")
+        both = pairs.join(used, "at").join(used.withColumnsRenamed({"at": "head", "grams": "others"}), "head")
         shared = both.withColumn("both", F.size(F.array_intersect("grams", "others")))
-        found = cut(shared.where(F.col("both") >= LEAST * (F.size("grams") + F.size("others") - F.col("both"))).select("doc_id").distinct())
-        gone = found if gone is None else gone.unionByName(found)
+        found = cut(parts(shared.where(F.col("both") >= least * (F.size("grams") + F.size("others") - F.col("both"))).select("at").distinct(), rows * 8))
+        gone = gone.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        met = cut(rest.drop("head").join(found, "doc_id", "left_anti"))
-    return ids.limit(0) if gone is None else gone
+        before, met = met, cut(parts(rest.join(ranked, ["value", "at"], "left_anti").join(small(found), "at", "left_anti"), rows))
+        release(before, filled, members, ranked)
+        heads = min(GROWTH * heads, HEADS)
+    return cut(gone.distinct())

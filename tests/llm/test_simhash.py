@@ -81,8 +81,13 @@ def test_chain_of_links_and_crowded_bucket(spark):
 
 
 def test_one_of_each(spark):
-    df = spark.createDataFrame([(5, "a b c d"), (2, "a b c d"), (2, "a b c d"), (None, "a b c d"), (9, "q r s t u v")], "doc_id bigint, text string")
-    assert sorted(((r.doc_id, r.text) for r in simhash.one_of_each(df).collect()), key=str) == [(2, "a b c d"), (9, "q r s t u v"), (None, "a b c d")]
+    docs = [(5, "a b c d"), (2, "a b c d"), (2, "a b c d"), (2, "another text"), (None, "a b c d"), (None, "no id"), (None, "no id"), (9, "q r s t u v"), (11, None), (10, "")]
+    df = spark.createDataFrame([(*d, i, "x") for i, d in enumerate(docs)], "doc_id bigint, text string, at int, row string")
+    out = simhash.one_of_each(df)
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(2, "a b c d"), (2, "another text"), (9, "q r s t u v"), (10, ""), (None, "no id")], key=str)
+    assert simhash.one_of_each(df.limit(0)).collect() == []
 
 
 def test_empty_table(spark):
