@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import decontam, langid, lines, pieces, simhash, similar
+from eventloom.llm import decontam, langid, lines, pieces, simhash
 from eventloom.llm.common import ensure_checkpoint_dir, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -21,16 +21,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that occur before go from the texts (n_chars follows); a document that loses every line goes as well."""
-    out = lines.dedup(docs).where("removed_lines = 0 or removed_lines < text_lines")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return lines.without_repeats(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, the one with the smallest id; of these, none that is similar to one of a smaller id."""
-    kept = simhash.one_of_each(docs)
-    return kept.join(similar.near(docs, kept.where("doc_id is not null").select("doc_id")), "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near copies stays, the one with the smallest id."""
+    return simhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
