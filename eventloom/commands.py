@@ -91,8 +91,8 @@ def pretokenize_embedding(spark: SparkSession, dataset_path: str, samples_path:
     return {"kept": spark.read.parquet(output_path).count(), "samples": samples.count()}
 
 
-def make_batches(spark: SparkSession, tokens_path: str, output_path: str, max_length: int, budget: int = 16_384, min_patients: int = 1, stride: int | None = None, one_window: bool = False, min_length: int = 0, drop: float = 0.0, classes: int | None = None, seed: int = 0, shards: int = 64) -> int:
-    """Windows, drops, labels, packs and collates a token table; returns the number of batches."""
+def make_batches(spark: SparkSession, tokens_path: str, output_path: str, max_length: int, budget: int = 16_384, min_patients: int = 1, stride: int | None = None, one_window: bool = False, min_length: int = 0, drop: float = 0.0, classes: int | None = None, seed: int = 0, shards: int | None = None) -> int:
+    """Windows, drops, labels, packs and collates a token table; returns the number of batches. Shards follow the number of windows unless given."""
     own = windows.windows(spark.read.parquet(tokens_path), max_length, stride, one_window, min_length)
     own = windows.dropout(own, drop, seed) if drop else own
     own = own.withColumn("labels", windows.labels(F.col("token_ids"), classes))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from eventloom.constants import IGNORED
 from eventloom.operators.windows import chance
@@ -14,30 +18,47 @@ def shuffled_order(seed: int, *keys: str) -> list[Column]:
     return [chance(seed, *(F.col(k) for k in keys)), *(F.col(k) for k in keys)]
 
 
-def packed(windows: DataFrame, budget: int, least: int = 1, seed: int = 0, shards: int = 1, drop_last: bool = False) -> DataFrame:
+#: Windows that one shard holds where the number of shards is left to the data.
+SHARD_WINDOWS = 100_000
+
+
+def packed(windows: DataFrame, budget: int, least: int = 1, seed: int = 0, shards: int | None = 1, drop_last: bool = False) -> DataFrame:
     """(shard, batch, place, sample_id, start, length): windows in shuffled order, greedily put into batches.
 
     A batch is closed before a window that would exceed the budget, if it has `least` windows by then; a short tail is
-    dropped only on request. The greedy rule is a fold over lengths in order, so it runs within shards, dealt by a hash of
-    the sample: raise `shards` with the data. Only three numbers a window are gathered.
+    dropped only on request. The greedy rule is a fold over lengths in order, so it runs within shards, dealt by the sample:
+    an integer modulo `shards`, anything else (a struct of id and index time, say) by its hash. shards=None takes as many as
+    the counted windows need. Four numbers a window are sorted and passed once, in time linear in the windows and without
+    gathering a shard.
     """
-    items = windows.select("sample_id", "start", "length", chance(seed, F.col("sample_id"), F.col("start")).alias("r"))
-    items = items.withColumn("shard", F.pmod(F.col("sample_id"), F.lit(shards)).cast("int"))
-    own = items.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("r", "sample_id", "start", "length"))).alias("w"))
-    fold = (
-        "aggregate(w, named_struct('b', 0, 't', cast(0 as bigint), 'n', 0, 'out', cast(array() as array<int>)), (s, x) -> "
-        f"if(s.t + x.length > {budget} and s.n >= {least}, "
-        "named_struct('b', s.b + 1, 't', cast(x.length as bigint), 'n', 1, 'out', concat(s.out, array(s.b + 1))), "
-        "named_struct('b', s.b, 't', s.t + x.length, 'n', s.n + 1, 'out', concat(s.out, array(s.b))))).out"
-    )
-    each = own.withColumn("b", F.expr(fold)).select("shard", F.posexplode(F.arrays_zip("w", "b")).alias("at", "x"))
-    out = each.select("shard", F.col("x.b").alias("batch"), F.col("x.w.sample_id").alias("sample_id"), F.col("x.w.start").alias("start"), F.col("x.w.length").alias("length"), "at")
-    by = Window.partitionBy("shard", "batch")
-    out = out.withColumn("place", F.row_number().over(by.orderBy("at")) - 1).withColumn("size", F.count(F.lit(1)).over(by))
+    if shards is None:
+        shards = max(1, -(-windows.count() // SHARD_WINDOWS))
+    whole = isinstance(windows.schema["sample_id"].dataType, IntegralType)
+    dealt = F.col("sample_id") if whole else F.xxhash64("sample_id")
+    items = windows.select(F.pmod(dealt, F.lit(shards)).cast("int").alias("shard"), "sample_id", "start", "length", chance(seed, F.col("sample_id"), F.col("start")).alias("r"))
+    order = items.repartition("shard").sortWithinPartitions("shard", "r", "sample_id", "start", "length").drop("r")
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, batch, total, place = None, 0, 0, 0
+        for b in batches:
+            numbers, places = [], []
+            for own, length in zip(b.column("shard").to_pylist(), b.column("length").to_pylist(), strict=True):
+                if own != shard:
+                    shard, batch, total, place = own, 0, 0, 0
+                elif total + length > budget and place >= least:
+                    batch, total, place = batch + 1, 0, 0
+                numbers.append(batch)
+                places.append(place)
+                total, place = total + length, place + 1
+            cols = [b.column("shard"), pa.array(numbers, pa.int32()), pa.array(places, pa.int32()), *(b.column(c) for c in ("sample_id", "start", "length"))]
+            yield pa.RecordBatch.from_arrays(cols, ["shard", "batch", "place", "sample_id", "start", "length"])
+
+    kinds = ", ".join(f"{c} {items.schema[c].dataType.simpleString()}" for c in ("sample_id", "start", "length"))
+    out = order.mapInArrow(fill, f"shard int, batch int, place int, {kinds}")
     if drop_last:
-        out = out.withColumn("tail", F.col("batch") == F.max("batch").over(Window.partitionBy("shard")))
-        out = out.where(~(F.col("tail") & (F.col("size") < least)))
-    return out.select("shard", "batch", "place", "sample_id", "start", "length")
+        last = F.col("batch") == F.max("batch").over(Window.partitionBy("shard"))
+        out = out.withColumn("tail", last & (F.count(F.lit(1)).over(Window.partitionBy("shard", "batch")) < least)).where("not tail").drop("tail")
+    return out
 
 
 def with_offsets(batches: DataFrame) -> DataFrame:

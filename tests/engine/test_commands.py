@@ -36,6 +36,10 @@ def test_from_events_to_representations(spark, dataset, tmp_path):
     assert rows.where("exists(sequence(1, length - 1), i -> length > 1 and i < length and i >= 1 and get(age, i) < get(age, i - 1))").count() == 0
     n = commands.make_batches(spark, f"{tmp_path}/t", f"{tmp_path}/b", max_length=32, stride=20, budget=128, min_patients=2, drop=0.1, shards=2)
     assert n == spark.read.parquet(f"{tmp_path}/b").count() > 1
+    plain = f"{tmp_path}/plain.parquet"  # samples as they are usually given: id, index_t, split
+    spark.read.parquet(own["samples_path"]).select("id", "index_t", "split").write.parquet(plain)
+    commands.pretokenize(spark, **own | {"samples_path": plain}, vocab_path=f"{tmp_path}/j/vocab.json", output_path=f"{tmp_path}/tp", intervals=True)
+    assert commands.make_batches(spark, f"{tmp_path}/tp", f"{tmp_path}/bp", max_length=32, budget=128) > 1
     commands.compute_representations(spark, f"{tmp_path}/t", f"{tmp_path}/r", lambda ids, ages: [[[float(i), a] for i, a in zip(x, y, strict=True)] for x, y in zip(ids, ages, strict=True)], 32)
     last = {(r.id, str(r.index_t)[:19]): r.representations for r in spark.read.parquet(f"{tmp_path}/r").collect()}
     for r in rows.collect():

@@ -216,6 +216,16 @@ def test_batches(spark):
             total, n = total + r.length, n + 1
         assert [r.last_index for r in by[b]] == [sum(x.length for x in by[b][: k + 1]) - 1 for k in range(len(by[b]))]
     assert sum(map(len, by.values())) == 20
+    named = own.withColumn("sample_id", F.struct(F.col("sample_id").alias("id"), F.lit("2020-01-01").cast("timestamp_ntz").alias("index_t")))
+    for shards in (1, 3, None):
+        dealt = batching.packed(named, 10, 2, seed=4, shards=shards).collect()
+        assert sorted(r.sample_id.id for r in dealt) == sorted(r.sample_id for r in own.collect())
+        sizes = {}
+        for r in dealt:
+            sizes.setdefault((r.shard, r.batch), []).append((r.place, r.length))
+        assert all([p for p, _ in sorted(x)] == list(range(len(x))) for x in sizes.values())
+        assert all(sum(n for _, n in x) <= 10 or len(x) <= 2 for x in sizes.values())
+    assert batching.collated(batching.packed(named, 10, 2, seed=4), named).count() == len(by)
     flat = batching.collated(cut, own)
     for r in flat.collect():
         assert len(r.input_ids) == sum(r.patient_lengths) == len(r.ages) and len(r.label_indices) == len(r.labels)
