@@ -94,21 +94,18 @@ def as_hex(fp: str = "fp"):
 
 
 def sketches(docs: DataFrame, width: int = similar.WIDTH) -> DataFrame:
-    """(at, fp, size, bands) of each row of docs(at, text): fingerprint, number of distinct shingles and MinHash bands from one
-    pass over the text's shingles."""
+    """(at, fp, bands) of each row of docs(at, text): fingerprint and MinHash bands from one pass over the text's shingles."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints, sizes, held = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int64), []
+            prints, held = np.zeros(b.num_rows, np.uint64), []
             for i, text in enumerate(b.column("text").to_pylist()):
                 hashes = similar.shingles(text, width)
                 prints[i] = majority(hashes)
-                own = np.unique(hashes)
-                sizes[i] = len(own)
-                held.append(similar.bands(own))
-            yield pa.RecordBatch.from_arrays([b.column("at"), pa.array(prints.view(np.int64)), pa.array(sizes), pa.array(held, pa.list_(pa.int64()))], ["at", "fp", "size", "bands"])
+                held.append(similar.bands(np.unique(hashes)))
+            yield pa.RecordBatch.from_arrays([b.column("at"), pa.array(prints.view(np.int64)), pa.array(held, pa.list_(pa.int64()))], ["at", "fp", "bands"])
 
-    return map_arrow(docs, scan, f"at {sql_type(docs, 'at')}, fp bigint, size bigint, bands array<bigint>")
+    return map_arrow(docs, scan, f"at {sql_type(docs, 'at')}, fp bigint, bands array<bigint>")
 
 
 def one_of_each(docs: DataFrame, width: int = similar.WIDTH, least: float = similar.LEAST, wide_bucket: int = WIDE_BUCKET) -> DataFrame:
@@ -129,7 +126,7 @@ def one_of_each(docs: DataFrame, width: int = similar.WIDTH, least: float = simi
     heads = cut(placed.join(placed.groupBy("root").agg(F.min("least").alias("head")), "root").select("fp", "head"))
     copies = cut(signed.join(small(heads), "fp").where("at != head").select("at").distinct())
     release(prints, linked, placed)
-    gone = copies.unionByName(similar.near(signed.join(small(copies), "at", "left_anti").select("at", "size", "bands"), rows, width, least))
+    gone = copies.unionByName(similar.near(signed.join(small(copies), "at", "left_anti").select("at", "bands"), rows, width, least))
     again = cut(signed.groupBy("at").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("at").join(gone, "at", "left_anti"))
     release(signed)
     named = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), similar.name(docs).alias("at"))

@@ -14,16 +14,18 @@ from pyspark.sql import functions as F
 from eventloom.llm.common import cut, map_arrow, release, small, sql_type
 
 WIDTH, LEAST, SEED = 5, 0.8, 42
-#: Two texts of similarity s share a band with probability 1 - (1 - s**ROWS)**BANDS: 0.9996 at 0.8.
+#: Two texts of similarity s share a band with probability 1 - (1 - s**rows)**bands. The first bands are made of every text and
+#: name those that may have a near copy (0.9996 at 0.8); the fine ones are made of these alone and name the pairs to compare:
+#: 0.9993 at 0.8, but 0.32 at 0.6 and 0.06 at 0.5, where the first have 0.80 and 0.47.
 BANDS, ROWS = 20, 5
-_BLOCK = 4096
+FINE_BANDS, FINE_ROWS = 64, 10
+_BLOCK = 1 << 19
 #: Buckets of no more documents are compared in pairs at once, larger ones with their first documents, up to HEADS a round.
 SMALL_BUCKET, HEADS, GROWTH = 16, 4096, 16
 #: Rows of a table between rounds that one task keeps.
 TASK_ROWS = 100_000
 _RANDOM = np.random.default_rng(SEED)
-_A = _RANDOM.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
-_B = _RANDOM.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64)
+_FIRST, _FINE = ((_RANDOM.integers(0, 1 << 64, (n, 1), np.uint64) | np.uint64(1), _RANDOM.integers(0, 1 << 64, (n, 1), np.uint64)) for n in (BANDS * ROWS, FINE_BANDS * FINE_ROWS))
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -38,14 +40,16 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), np.uint64, len(words) - width + 1)
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """A signed hash of each band's ROWS least values; none for no shingles."""
+def bands(hashes: np.ndarray, fine: bool = False) -> np.ndarray:
+    """A signed hash of each band's least values; none for no shingles."""
     if not len(hashes):
         return np.zeros(0, np.int64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), _BLOCK):
-        least = np.minimum(least, (hashes[at : at + _BLOCK] * _A + _B).min(axis=1))
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), SEED) for row in least.reshape(BANDS, ROWS)], np.uint64).view(np.int64)
+    (factor, shift), rows = (_FINE, FINE_ROWS) if fine else (_FIRST, ROWS)
+    least = np.full(len(factor), np.iinfo(np.uint64).max, np.uint64)
+    step = _BLOCK // len(factor)
+    for at in range(0, len(hashes), step):
+        least = np.minimum(least, (hashes[at : at + step] * factor + shift).min(axis=1))
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), SEED) for row in least.reshape(-1, rows)], np.uint64).view(np.int64)
 
 
 def version(text: str = "text") -> Column:
@@ -59,28 +63,40 @@ def name(docs: DataFrame) -> Column:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """(at, grams, bands): the distinct shingles of each text and its fine bands."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("at"), pa.array([np.unique(shingles(t, width)).view(np.int64) for t in b.column("text").to_pylist()], pa.list_(pa.int64()))], ["at", "grams"])
+            held = [np.unique(shingles(t, width)) for t in b.column("text").to_pylist()]
+            grams, keys = [h.view(np.int64) for h in held], [bands(h, fine=True) for h in held]
+            yield pa.RecordBatch.from_arrays([b.column("at"), *(pa.array(x, pa.list_(pa.int64())) for x in (grams, keys))], ["at", "grams", "bands"])
+
+    return map_arrow(docs, scan, f"at {sql_type(docs, 'at')}, grams array<bigint>, bands array<bigint>")
 
-    return map_arrow(docs, scan, f"at {sql_type(docs, 'at')}, grams array<bigint>")
+
+def _shared(banded: DataFrame, *more: Column) -> DataFrame:
+    """(at, ..., value): the bands of banded(at, bands) that more than one row has."""
+    entry = banded.select("at", *more, F.explode("bands").alias("value"))
+    filled = entry.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value")
+    return entry.join(small(filled), "value", "left_semi")
 
 
 def near(sketched: DataFrame, docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
     """(at): documents that one with a smaller name is similar to (Jaccard `least` or more of their sets of shingles); no two of
     the others are, as far as they share a band.
 
-    sketched: (at, size, bands) of the documents to compare, size being the number of distinct shingles; docs: (at, text) of
-    these and maybe others. Buckets of up to SMALL_BUCKET documents are paired off. In larger ones, round by round, the first
-    1, 16, 256, ... documents are compared with the others, and those that are similar go: a group of near copies costs its size,
-    not its square. A large bucket of documents that are not similar (they share a passage, say) costs the pairs of its
-    documents of like size in the end. Sizes too far apart for the similarity are not compared; no pair is compared twice.
+    sketched: (at, bands) of the documents to compare; docs: (at, text) of these and maybe others. Documents that share a first
+    band with another are read again for their shingles and fine bands, whose buckets name the pairs: around a template with
+    many edited copies most pairs are less similar than `least`, and few of those share a fine band. Buckets of up to
+    SMALL_BUCKET documents are paired off. In larger ones, round by round, the first 1, 16, 256, ... documents are compared with
+    the others, and those that are similar go: a group of near copies costs its size, not its square. A large bucket of
+    documents that are not similar costs the pairs of its documents of like size in the end. Sizes too far apart for the
+    similarity are not compared; no pair is compared twice.
     """
-    entry = sketched.select("at", "size", F.explode("bands").alias("value"))
-    filled = entry.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value")
-    met = cut(entry.join(small(filled), "value", "left_semi").distinct())
-    asked = cut(met.select("at").distinct())
+    asked = cut(_shared(sketched).select("at").distinct())
     sets = cut(_sets(docs.join(small(asked), "at", "left_semi"), width).dropDuplicates(["at"]))
+    met = cut(_shared(sets, F.size("grams").cast("bigint").alias("size")).distinct())
+    sets = sets.select("at", "grams")
     gone, tested, heads = asked.limit(0), None, 1
     while rows := met.count():
         parts = lambda df, most: df.coalesce(-(-most // TASK_ROWS))  # noqa: B023, E731
