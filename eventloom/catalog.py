@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventloom import oracle as o
 from eventloom import schema
-from eventloom.constants import HALF_YEAR, demographic_labels, interval_labels, quantile_labels
+from eventloom.constants import FEMALE_CODES, HALF_YEAR, MALE_CODES, demographic_labels, interval_labels, quantile_labels
 from eventloom.functions import text, values
 from eventloom.operators import batching, cohort, embedding, model, sequence, statistics, tokens, visits, vocabulary, windows
 from eventloom.operators.order import numbered
@@ -427,6 +427,13 @@ def sequence_demographic(spark, d):
     return _long(own, ["sample_id"], "token_ids", "age", "age_normalized")
 
 
+@query("select d.sample_id, cast(p.token_id as int) as first_id from dm d join pv p on p.token = case d.sex_label when 'DEMO_SEX_MALE' then 'DEMO_SEX_FEMALE' when 'DEMO_SEX_FEMALE' then 'DEMO_SEX_MALE' else d.sex_label end where d.first_ord is not null")
+def demographic_sex_codes(spark, d):
+    codes = (FEMALE_CODES, MALE_CODES, ())  # exchanged, so that given codes are seen to count
+    own, _ = pretokenize.sequences(tables.events(spark, d), _samples(spark, d), _prepended(spark, d), demographics=True, sex_codes=codes)
+    return own.select("sample_id", F.get("token_ids", F.lit(0)).alias("first_id"))
+
+
 # Embedding branch
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from eventloom import session
-from eventloom.constants import MOVED_PREFIXES
+from eventloom.constants import END_STAGE, FEMALE_CODES, MALE_CODES, MOVED_PREFIXES, START_STAGE, UNKNOWN_CODES, VISIT_PATTERN
 from eventloom.operators import batching, embedding, statistics, visits, vocabulary, windows
 from eventloom.plans import pretokenize as plans
 from eventloom.plans import training
@@ -19,10 +19,20 @@ from eventloom.sources import events as files
 from eventloom.sources.literal import literal
 
 
-def apply_transforms(spark: SparkSession, input_dir: str, output_dir: str, prefixes: tuple[str, ...] = MOVED_PREFIXES, check_description: bool = True, per_file: bool = False) -> dict[str, int]:
+def apply_transforms(
+    spark: SparkSession,
+    input_dir: str,
+    output_dir: str,
+    prefixes: tuple[str, ...] = MOVED_PREFIXES,
+    check_description: bool = True,
+    per_file: bool = False,
+    visit_pattern: str = VISIT_PATTERN,
+    start_stage: str = START_STAGE,
+    end_stage: str = END_STAGE,
+) -> dict[str, int]:
     """Moves events to their visits' ends and writes them with the metadata; visits are paired over all files, or within each."""
     own = files.read_events(spark, input_dir).withColumn("_file", F.col("event_ord.file"))
-    moved = visits.move_to_visit_end(own, tuple(prefixes), check_description, by=("_file",) if per_file else (), flag=True)
+    moved = visits.move_to_visit_end(own, tuple(prefixes), check_description, by=("_file",) if per_file else (), flag=True, pattern=visit_pattern, start=start_stage, end=end_stage)
     files.write_events(moved.drop("_file", "moved"), f"{output_dir}/data")
     files.copy_metadata(spark, input_dir, output_dir)
     row = moved.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("moved").cast("int")).alias("m")).first()
@@ -38,11 +48,15 @@ def train_vocabulary(
     intervals: bool = False,
     demographics: bool = False,
     overwrite: bool = False,
+    save_reservoirs: bool = False,
     **settings: Any,
 ) -> dict[str, Any]:
-    """Trains a vocabulary and writes output_path/vocab.json; static tokens go in front, within the vocabulary's size."""
+    """Trains a vocabulary and writes output_path/vocab.json; static tokens go in front, within the vocabulary's size.
+
+    save_reservoirs also writes output_path/reservoirs, a Parquet table (key, numeric_value) of the values behind the breaks."""
     own, samples = files.open_dataset(spark, {"dataset_path": dataset_path, "samples_path": samples_path, "split": split})
-    trained = training.fit(own, samples, training.Settings(**settings))
+    options = training.Settings(**settings)
+    trained = training.fit(own, samples, options)
     classes = trained.vocabulary.first().num_ntp_classes if "num_ntp_classes" in trained.vocabulary.columns else trained.vocabulary.count()
     if demographics:
         trained.vocabulary = vocabulary.with_demographics(trained.vocabulary)
@@ -51,6 +65,8 @@ def train_vocabulary(
     doc = training.document(trained)
     doc["config"]["num_ntp_classes"] = classes
     written = files.write_document(spark, doc, f"{output_path}/vocab.json", overwrite)
+    if save_reservoirs and written and options.emit_quantiles:
+        training.reservoirs(training.train(own, samples), options).write.mode("overwrite").parquet(f"{output_path}/reservoirs")
     return {"entries": len(doc["vocab"]), "num_ntp_classes": classes, "written": written}
 
 
@@ -62,11 +78,12 @@ def _with_overrides(spark: SparkSession, trained: training.Trained, quantile_bre
     return trained
 
 
-def pretokenize(spark: SparkSession, dataset_path: str, samples_path: str, vocab_path: str, output_path: str, split: str | None = None, quantile_breaks_path: str | None = None, rows_a_file: int = 32_768, **options: Any) -> dict[str, int]:
-    """Writes token sequences; returns how many were kept and skipped, by reason."""
+def pretokenize(spark: SparkSession, dataset_path: str, samples_path: str, vocab_path: str, output_path: str, split: str | None = None, quantile_breaks_path: str | None = None, rows_a_file: int = 32_768, male_codes: str | None = None, female_codes: str | None = None, unknown_codes: str | None = None, **options: Any) -> dict[str, int]:
+    """Writes token sequences; returns how many were kept and skipped, by reason. Sex codes come as text, parted by commas."""
     own, samples = files.open_dataset(spark, {"dataset_path": dataset_path, "samples_path": samples_path, "split": split})
     trained = _with_overrides(spark, training.load(spark, files.read_document(spark, vocab_path)), quantile_breaks_path)
-    out, skipped = plans.sequences(own, samples, trained, **options)
+    codes = tuple(tuple(str(given).split(",")) if given else usual for given, usual in ((male_codes, MALE_CODES), (female_codes, FEMALE_CODES), (unknown_codes, UNKNOWN_CODES)))
+    out, skipped = plans.sequences(own, samples, trained, sex_codes=codes, **options)
     files.write_tokens(out, output_path, rows_a_file)
     counts = {"kept": spark.read.parquet(output_path).count(), "samples": samples.count()}
     if skipped is not None:
@@ -91,19 +108,22 @@ def pretokenize_embedding(spark: SparkSession, dataset_path: str, samples_path:
     return {"kept": spark.read.parquet(output_path).count(), "samples": samples.count()}
 
 
-def make_batches(spark: SparkSession, tokens_path: str, output_path: str, max_length: int, budget: int = 16_384, min_patients: int = 1, stride: int | None = None, one_window: bool = False, min_length: int = 0, drop: float = 0.0, classes: int | None = None, seed: int = 0, shards: int | None = None) -> int:
-    """Windows, drops, labels, packs and collates a token table; returns the number of batches. Shards follow the number of windows unless given."""
+def make_batches(spark: SparkSession, tokens_path: str, output_path: str, max_length: int, budget: int = 16_384, min_patients: int = 1, stride: int | None = None, one_window: bool = False, min_length: int = 0, drop: float = 0.0, classes: int | None = None, seed: int = 0, shards: int | None = None, positions: bool = False) -> int:
+    """Windows, drops, labels, packs and collates a token table; returns the number of batches. Shards follow the number of windows
+    unless given; positions=True puts places for ages."""
     own = windows.windows(spark.read.parquet(tokens_path), max_length, stride, one_window, min_length)
     own = windows.dropout(own, drop, seed) if drop else own
+    own = windows.positions(own) if positions else own
     own = own.withColumn("labels", windows.labels(F.col("token_ids"), classes))
     batching.collated(batching.packed(own, budget, min_patients, seed, shards), own).write.parquet(output_path)
     return spark.read.parquet(output_path).count()
 
 
-def compute_representations(spark: SparkSession, tokens_path: str, output_path: str, encode: Callable[[list[list[int]], list[list[float]]], list[list[list[float]]]], max_length: int) -> None:
+def compute_representations(spark: SparkSession, tokens_path: str, output_path: str, encode: Callable[[list[list[int]], list[list[float]]], list[list[list[float]]]], max_length: int, positions: bool = False) -> None:
     """Each sequence's last window through a model, given as a function of token and age lists that returns a vector a token;
-    the vector of the last token is written. Sequences without tokens have none."""
+    the vector of the last token is written. Sequences without tokens have none. positions=True gives the model places for ages."""
     own = windows.windows(spark.read.parquet(tokens_path), max_length, one=True)
+    own = windows.positions(own) if positions else own
 
     def run(frames: Iterator[Any]) -> Iterator[Any]:
         for f in frames:

@@ -25,6 +25,9 @@ def value_key(by_unit: bool) -> Column:
     return F.concat_ws("|", "code", "unit") if by_unit else F.col("code")
 
 
+MODES = ("first", "uniform", "exact")
+
+
 def reservoir(cohort: DataFrame, size: int = 1000, by_unit: bool = False, mode: str = "first", seed: int = 0) -> DataFrame:
     """(key, numeric_value): up to `size` values a key, the first in sample and event order, a uniform choice, or (exact) all.
 

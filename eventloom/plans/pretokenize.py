@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.constants import demographic_labels, interval_labels
+from eventloom.constants import FEMALE_CODES, MALE_CODES, UNKNOWN_CODES, demographic_labels, interval_labels
 from eventloom.operators import cohort as cohorts
 from eventloom.operators import embedding, sequence, tokens, vocabulary
 from eventloom.plans.training import Trained, key_column, parts
@@ -33,10 +35,11 @@ def sequences(
     include_year: bool = False,
     max_events: int | None = None,
     cutoff: int | None = None,
+    sex_codes: tuple[Sequence[str], Sequence[str], Sequence[str]] = (MALE_CODES, FEMALE_CODES, UNKNOWN_CODES),
 ) -> tuple[DataFrame, DataFrame | None]:
     """(sequences, skip reasons): one row a kept sample; with demographics, why the others were skipped.
 
-    Unknown events are dropped before gaps are taken. Samples whose events are all unknown keep a row with empty arrays.
+    sex_codes are the codes that say male, female and unknown. Unknown events are dropped before gaps are taken. Samples whose events are all unknown keep a row with empty arrays.
     """
     if demographics and max_events is not None:
         raise ValueError("max_events keeps the last events, which leaves out the birth and sex codes that demographics need")
@@ -48,7 +51,7 @@ def sequences(
     prefix = skipped = None
     start = None
     if demographics:
-        prefix = sequence.demographic_prefix(sequence.leading_run(own), trained.vocabulary, include_year, cutoff)
+        prefix = sequence.demographic_prefix(sequence.leading_run(own, *sex_codes), trained.vocabulary, include_year, cutoff)
         skipped = prefix.select(*sequence.SAMPLE, "skip_reason")
         prefix = prefix.where("skip_reason is null")
         own = own.join(prefix.select("sample_id", "first_ord", "first_t"), "sample_id").where(F.col("ord") >= F.col("first_ord"))

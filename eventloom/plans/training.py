@@ -25,10 +25,14 @@ class Settings:
     separator: str = "/"
     by_unit: bool = False
     unit_aware: bool = False
+    reservoir_mode: str = "first"
+    seed: int = 0
 
     def __post_init__(self) -> None:
         if self.mode not in ("joint", "factorized"):
             raise ValueError(f"mode is joint or factorized, not {self.mode!r}")
+        if self.reservoir_mode not in statistics.MODES:
+            raise ValueError(f"reservoir_mode is one of {', '.join(statistics.MODES)}, not {self.reservoir_mode!r}")
         if self.vocab_size < 1 or self.quantiles < 1 or self.reservoir_size < 1:
             raise ValueError("vocab_size, quantiles and reservoir_size are at least 1")
 
@@ -44,12 +48,16 @@ class Trained:
     stages: DataFrame | None
 
 
+def reservoirs(events: DataFrame, settings: Settings) -> DataFrame:
+    return statistics.reservoir(events, settings.reservoir_size, settings.by_unit, settings.reservoir_mode, settings.seed)
+
+
 def scan(events: DataFrame, settings: Settings) -> tuple[DataFrame | None, DataFrame | None]:
     """The first pass: breaks and stages of a cohort. Without quantile tokens there is no such pass, and a joint vocabulary
     then knows no stages, so that all of them pass."""
     breaks = stages = None
     if settings.emit_quantiles:
-        breaks = statistics.quantile_breaks(statistics.reservoir(events, settings.reservoir_size, settings.by_unit), settings.quantiles)
+        breaks = statistics.quantile_breaks(reservoirs(events, settings), settings.quantiles)
     if settings.emit_stage and (settings.emit_quantiles or settings.mode == "factorized"):
         stages = statistics.stages(events)
     return breaks, stages

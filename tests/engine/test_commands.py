@@ -29,6 +29,15 @@ def test_from_events_to_representations(spark, dataset, tmp_path):
     # Static tokens are within the vocabulary's own length, so they push out all others here; a joint one has room.
     joint = commands.train_vocabulary(spark, **own, output_path=f"{tmp_path}/j", vocab_size=300, quantiles=4, intervals=True)
     assert joint["entries"] > 50
+    some = {"vocab_size": 300, "quantiles": 4, "reservoir_size": 5, "reservoir_mode": "uniform", "demographics": True, "save_reservoirs": True}
+    commands.train_vocabulary(spark, **own, output_path=f"{tmp_path}/u", **some, seed=1)
+    held = spark.read.parquet(f"{tmp_path}/u/reservoirs").groupBy("key").count().collect()
+    assert held and all(r["count"] <= 5 for r in held)
+    sexes = []
+    for k, codes in enumerate(({}, {"male_codes": "8532", "female_codes": "8507"})):
+        commands.pretokenize(spark, **own, vocab_path=f"{tmp_path}/u/vocab.json", output_path=f"{tmp_path}/s{k}", demographics=True, **codes)
+        sexes.append({r.sample_id: r.token_ids[0] for r in spark.read.parquet(f"{tmp_path}/s{k}").collect()})
+    assert sexes[1] == {s: {0: 1, 1: 0, 2: 2}[i] for s, i in sexes[0].items()} and len(set(sexes[0].values())) > 1
     counts = commands.pretokenize(spark, **own, vocab_path=f"{tmp_path}/j/vocab.json", output_path=f"{tmp_path}/t", intervals=True, max_interval_repeat=2)
     assert counts["kept"] == 28 <= counts["samples"]
     rows = spark.read.parquet(f"{tmp_path}/t").where("length > 0")
@@ -41,6 +50,11 @@ def test_from_events_to_representations(spark, dataset, tmp_path):
     commands.pretokenize(spark, **own | {"samples_path": plain}, vocab_path=f"{tmp_path}/j/vocab.json", output_path=f"{tmp_path}/tp", intervals=True)
     assert commands.make_batches(spark, f"{tmp_path}/tp", f"{tmp_path}/bp", max_length=32, budget=128) > 1
     commands.compute_representations(spark, f"{tmp_path}/t", f"{tmp_path}/r", lambda ids, ages: [[[float(i), a] for i, a in zip(x, y, strict=True)] for x, y in zip(ids, ages, strict=True)], 32)
+    commands.make_batches(spark, f"{tmp_path}/t", f"{tmp_path}/bq", max_length=32, budget=128, shards=1, positions=True)
+    lengths = spark.read.parquet(f"{tmp_path}/bq").first()
+    assert lengths.ages == [float(i) for n in lengths.patient_lengths for i in range(n)] and not any(lengths.normalized_ages)
+    commands.compute_representations(spark, f"{tmp_path}/t", f"{tmp_path}/rq", lambda ids, ages: [[[a] for a in y] for y in ages], 32, positions=True)
+    assert {float(min(r.length, 32) - 1) for r in rows.collect()} == {r.representations[0] for r in spark.read.parquet(f"{tmp_path}/rq").collect()}
     last = {(r.id, str(r.index_t)[:19]): r.representations for r in spark.read.parquet(f"{tmp_path}/r").collect()}
     for r in rows.collect():
         assert last[str(r.subject_id), str(r.index_t)[:19]][0] == r.token_ids[-1]
@@ -64,6 +78,10 @@ def test_transforms(spark, tmp_path):
     whole = commands.apply_transforms(spark, f"{tmp_path}/in", f"{tmp_path}/out")
     apart = commands.apply_transforms(spark, f"{tmp_path}/in", f"{tmp_path}/out2", per_file=True)
     assert whole == apart and whole["moved"] > 0
+    other = own.withColumn("code", F.regexp_replace("code", "^VISIT/", "STAY/")).withColumn("workflow_stage", F.regexp_replace(F.lower("workflow_stage"), "^(start|end)$", "$1ed"))
+    other.repartition(2, "visit_id").write.parquet(f"{tmp_path}/other/data")
+    assert commands.apply_transforms(spark, f"{tmp_path}/other", f"{tmp_path}/out4")["moved"] == 0
+    assert commands.apply_transforms(spark, f"{tmp_path}/other", f"{tmp_path}/out5", visit_pattern="STAY", start_stage="Started", end_stage="ENDED")["moved"] == whole["moved"]
     assert spark.read.parquet(f"{tmp_path}/out/data").count() == own.count() == whole["events"]
     assert spark.read.parquet(f"{tmp_path}/out/metadata/codes.parquet").count() == 1
     own.withColumn("visit_id", F.col("visit_id")).repartition(4, "code").write.parquet(f"{tmp_path}/split/data")
