@@ -12,15 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import cut, fields, map_arrow, sql_type
+from eventloom.llm.common import cut, fields, map_arrow, release, small, sql_type
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 LEAST_WORDS, MOST_REPEATED = 50, 50
 BUCKETS = 1 << 14
-#: The bound of the labelled sample that the target model and the threshold are fitted on.
-LABELLED_ROWS = 20_000
 #: Of the labelled trusted documents, so many score above the threshold at least.
 TRUSTED_KEPT = 0.995
 
@@ -115,31 +113,31 @@ def _counted(df: DataFrame, buckets: int) -> DataFrame:
     return map_arrow(df, count, "trusted boolean, bucket int, n bigint").groupBy("trusted", "bucket").agg(F.sum("n").alias("n"))
 
 
-def labelled_sample(labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
-    """(doc_id, quality, toxic): about `rows` labelled documents, those whose hashed id falls below rows / count.
+def worst_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, good, trusted) of each labelled document: whether its quality is 1, and whether it is not toxic besides.
 
     A document labelled more than once counts by its worst labels; labels without id or quality are left out.
     """
     known = fields(labels, "doc_id", "quality", "toxic").where("doc_id is not null and quality is not null")
     one = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
-    count = known.count()
-    return one.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30)) < F.lit(min(1.0, rows / max(count, 1)) * (1 << 30)))
+    return one.selectExpr("doc_id", "quality = 1 as good", "quality = 1 and toxic = 0 as trusted")
 
 
-def fit(docs: DataFrame, sample: dict[int, tuple[bool, bool]], buckets: int = BUCKETS) -> Ratio:
-    """The ratio: the target multinomial from the sample's trusted documents, the raw one from every document.
+def marked(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(text, trusted) of each row of docs; trusted: distinct ids. Texts move only if there are too many ids to broadcast."""
+    rows, ids = fields(docs, "doc_id", "text"), trusted.select(F.col("doc_id").alias("_id"))
+    near, match, flag = small(ids), F.col("doc_id") == F.col("_id"), F.col("_id").isNotNull().alias("trusted")
+    if near is not ids:
+        return rows.join(near, match, "left").select("text", flag)
+    # Hashed ids, so that no text is sorted; rows without id match none and would all go to one task.
+    with_id = rows.where("doc_id is not null").join(ids.hint("shuffle_hash"), match, "left").select("text", flag)
+    return with_id.union(rows.where("doc_id is null").select("text", F.lit(False).alias("trusted")))
 
-    sample: for each sampled id, whether its quality is 1 and whether it is not toxic."""
-    held = docs.sparkSession.sparkContext.broadcast({k for k, (good, mild) in sample.items() if good and mild})
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trusted = held.value
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("text"), pa.array([x in trusted for x in b.column("doc_id").to_pylist()], pa.bool_())], ["text", "trusted"])
-
-    marked = map_arrow(fields(docs, "doc_id", "text"), mark, "text string, trusted boolean")
+def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> Ratio:
+    """The ratio: the target multinomial from all documents whose id is in trusted, the raw one from every document."""
     counts = np.zeros((2, buckets))
-    for trusted, bucket, n in _counted(marked, buckets).collect():
+    for trusted, bucket, n in _counted(marked(docs, trusted), buckets).collect():
         counts[int(trusted), bucket] = n
     smooth = counts + 0.5
     log = np.log(smooth / smooth.sum(axis=1, keepdims=True))
@@ -165,40 +163,70 @@ def scored(docs: DataFrame, ratio: Ratio, buckets: int = BUCKETS) -> DataFrame:
     return map_arrow(fields(docs, "doc_id", "text"), score, f"doc_id {sql_type(docs, 'doc_id')}, " + ", ".join(f"{n} bigint" for n in names) + ", llr double")
 
 
-def least_score(scores: list[tuple[float, bool]], kept: float = TRUSTED_KEPT) -> float:
-    """The threshold: midway between the scores that part trusted from other labelled documents best, moved down where it
-    would cost more than 1 - kept of the trusted ones. Keeps everything if either class is missing."""
-    good, bad = (np.sort([s for s, g in scores if g == flag]) for flag in (True, False))
-    if not len(good) or not len(bad):
-        return -np.inf
-    edges = np.unique(np.concatenate([good, bad]))
-    cuts = (edges[:-1] + edges[1:]) / 2
-    if not len(cuts):
-        return -np.inf
-    lost = np.searchsorted(good, cuts) / len(good)
-    caught = np.searchsorted(bad, cuts) / len(bad)
-    allowed = lost <= 1 - kept
-    return float(cuts[np.argmax(np.where(allowed, caught - lost, -1))]) if allowed.any() else -np.inf
+def gains(good: np.ndarray, bad: np.ndarray, totals: tuple[int, int], kept: float) -> np.ndarray:
+    """How well cuts part the classes: the share of other labelled documents below each less that of trusted ones; -inf where
+    it would cost more than 1 - kept of these. good, bad: how many are below each cut."""
+    lost = good / totals[0]
+    return np.where(lost <= 1 - kept, bad / totals[1] - lost, -np.inf)
 
 
-def rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, rows: int = LABELLED_ROWS) -> DataFrame:
+def least_score(scores: list[tuple[float, bool]], kept: float = TRUSTED_KEPT) -> float:
+    """The threshold of scores in memory: midway between the two that part trusted from other labelled documents best, the
+    lowest of equal cuts. Keeps everything if either class is missing or no cut is allowed."""
+    edges, at = np.unique([s for s, _ in scores], return_inverse=True)
+    flags = np.array([g for _, g in scores], bool)
+    if flags.all() or not flags.any() or len(edges) < 2:
+        return -np.inf
+    good, bad = (np.cumsum(np.bincount(at[flags == g], minlength=len(edges)))[:-1] for g in (True, False))
+    gain = gains(good, bad, (int(flags.sum()), int((~flags).sum())), kept)
+    best = int(np.argmax(gain))
+    return float((edges[best] + edges[best + 1]) / 2) if gain[best] > -np.inf else -np.inf
+
+
+def least_of(scores: DataFrame, kept: float = TRUSTED_KEPT) -> float:
+    """least_score of all rows of scores(llr, good): equal scores are counted, the counts dealt by range of score, and each
+    range adds what is below it and gives its best cuts."""
+    n = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tally = scores.groupBy("llr").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    dealt = cut(tally.repartitionByRange(n, "llr").sortWithinPartitions("llr").withColumn("part", F.spark_partition_id()))
+    before, good, bad, highest = {}, 0, 0, -np.inf
+    for p in dealt.groupBy("part").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.max("llr").alias("highest")).orderBy("highest").collect():
+        before[p.part] = (good, bad)
+        good, bad, highest = good + p.good, bad + p.bad, p.highest
+    totals = (good, bad)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        below = None
+        for b in batches:
+            llr, goods, bads, parts = (b.column(c).to_numpy() for c in ("llr", "good", "bad", "part"))
+            if not len(llr):
+                continue
+            below = before[parts[0]] if below is None else below
+            goods, bads = below[0] + np.cumsum(goods), below[1] + np.cumsum(bads)
+            below = (goods[-1], bads[-1])
+            gain = np.where(llr < highest, gains(goods, bads, totals, kept), -np.inf)  # no cut is above the highest score
+            at = int(np.argmax(gain))
+            yield pa.RecordBatch.from_arrays([pa.array(llr[at : at + 1]), pa.array(gain[at : at + 1])], ["llr", "gain"])
+
+    least = -np.inf
+    if good and bad:
+        edge = map_arrow(dealt, best, "llr double, gain double").orderBy(F.desc("gain"), "llr").first()
+        if edge.gain > -np.inf:
+            least = (edge.llr + dealt.where(F.col("llr") > edge.llr).agg(F.min("llr")).first()[0]) / 2
+    release(dealt)
+    return least
+
+
+def rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr, base_failed, kept for each row of docs.
 
-    Trusted documents are those labelled quality 1 and not toxic, in a sample of about `rows` labels (the only thing that is
-    sampled); raw counts and the verdicts cover all documents. A null text has no words and fails; null ids and repeated rows
-    are scored like others; without labels only the base rules decide; an empty table gives no rows.
+    Trusted documents are all those labelled quality 1 and not toxic; raw counts and the verdicts cover all documents, and the
+    threshold all labelled ones that pass the base rules. A null text has no words and fails; null ids and repeated rows are
+    scored like others; without labels only the base rules decide; an empty table gives no rows.
     """
-    sample = {r.doc_id: (r.quality == 1, r.toxic == 0) for r in labelled_sample(labels, rows).collect()}
-    ratio = fit(docs, sample, buckets)
-    out = cut(scored(docs, ratio, buckets))
-    held = docs.sparkSession.sparkContext.broadcast(sample)
-
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [(s, held.value[d][0]) for d, s in zip(b.column("doc_id").to_pylist(), b.column("llr").to_pylist(), strict=True) if d in held.value]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.bool_())], ["llr", "good"])
-
-    usual = out.where((F.col("n_words") >= LEAST_WORDS) & (100 * F.col("n_repeat_words") <= MOST_REPEATED * F.col("n_words")))
-    threshold = least_score([tuple(r) for r in map_arrow(usual.select("doc_id", "llr"), known, "llr double, good boolean").collect()])
+    known = cut(worst_labels(labels))
+    out = cut(scored(docs, fit(docs, known.where("trusted"), buckets), buckets))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    threshold = least_of(out.where(~failed).select("doc_id", "llr").join(small(known.select("doc_id", "good")), "doc_id").select("llr", "good"))
+    release(known)
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold)))
